@@ -5,14 +5,16 @@
 2. Documents with equal sets collapse to one representative (smallest doc_id) before any pairing.
 3. Representatives meet in band buckets. Pairs are tried in three rounds, and each round leaves out pairs that
    are already in one component: (i) each member with its smallest bucket mate, (ii) each member with every
-   bucket's smallest member, (iii) all pairs of a bucket that still lie in different components. Where (iii)
-   would make many pairs in one bucket, a pair needs a second common band there.
+   bucket's smallest member, (iii) pairs from buckets whose members still lie in different components. For (iii)
+   the documents of such buckets give their whole sets, ordered by how many of these documents hold a shingle,
+   rarest first. Two linked documents must meet in a shingle of both prefixes, early enough that what follows can
+   still make up the overlap; pairs are made where that holds. A passage that many documents share stands last in
+   this order and makes no pairs, nor do near misses of one template, and no link is lost.
 4. A candidate's signatures are compared in batches; it goes as soon as the posterior probability that the
    similarity reaches the threshold falls under MISS. Survivors are confirmed on the full sets.
 5. Confirmed links are contracted to components by alternating large-star and small-star steps.
 
-With ROWS = 5 and BANDS = 30 a pair at similarity 0.8 shares no band with probability 0.672^30 = 7e-6, and
-fewer than two with 1e-4.
+With ROWS = 5 and BANDS = 30 a pair at similarity 0.8 shares no band with probability 0.672^30 = 7e-6.
 
 Edge cases: null or empty texts, and texts without words, have an empty set and are linked with nothing
 (component_id = doc_id); a text of fewer than k words has its whole sequence as its one shingle; rows that
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm.common import bound_batches, shared_dir, stored
@@ -37,8 +39,8 @@ ROWS, BANDS = 5, 30
 N_HASH = ROWS * BANDS
 #: Miss probability of one batch of the sequential test, and hashes compared in a batch.
 MISS, STEP = 1e-5, 15
-#: Candidate pairs of one bucket from which a second common band is asked for.
-WIDE = 2000
+#: Ids up to which the filter on candidates' texts is broadcast (after counting them); beyond, it is a shuffled join.
+BROADCAST_IDS = 200_000
 #: Words whose hashes a worker remembers.
 CACHE = 300_000
 
@@ -146,6 +148,17 @@ def _prune(percent: int):
     return run
 
 
+def _sets(k: int):
+    schema = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("t", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
 def _confirm(k: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -199,20 +212,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # the band rows of representatives only
     firsts = groups.filter("rep is not null").select(F.col("digest").alias("d"), "rep")
     reps = some.join(firsts, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).select(F.col("rep").alias("id"), "bands", "sig")
-    reps = stored(reps.distinct(), "reps")
+    reps = stored(reps, "reps")
     bands = reps.select("id", F.explode("bands").alias("key"))
     full = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select(F.col("key").alias("k"), "leader")
     multi = stored(bands.join(full, F.col("key") == F.col("k")).select("key", "id", "leader"), "buckets")
 
-    sigs, rep_text = reps.select("id", "sig"), texts.filter("doc_id is not null")
+    # texts and signatures of those that share a bucket with another
+    ids = stored(multi.select(F.col("id").alias("near")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    near_text = stored(texts.join(ids, F.col("doc_id") == F.col("near"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    sigs = stored(reps.select("id", "sig").join(ids, F.col("id") == F.col("near"), "left_semi"), "sigs")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b). b may be hot: it is joined last, by joins whose skewed partitions can be split."""
         x = pairs.join(sigs.select(F.col("id").alias("ia"), F.col("sig").alias("sig_a")), F.col("a") == F.col("ia")).select("a", "b", "sig_a")
         x = x.join(sigs.select(F.col("id").alias("ib"), F.col("sig").alias("sig_b")), F.col("b") == F.col("ib")).select("a", "b", "sig_a", "sig_b")
         alive = stored(x.mapInArrow(_prune(percent), "a long, b long"), "alive")
-        x = alive.join(rep_text.select(F.col("doc_id").alias("ia"), F.col("text").alias("text_a")), F.col("a") == F.col("ia")).select("a", "b", "text_a")
-        x = x.join(rep_text.select(F.col("doc_id").alias("ib"), F.col("text").alias("text_b")), F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b")
+        x = alive.join(near_text.select(F.col("id").alias("ia"), F.col("text").alias("text_a")), F.col("a") == F.col("ia")).select("a", "b", "text_a")
+        x = x.join(near_text.select(F.col("id").alias("ib"), F.col("text").alias("text_b")), F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b")
         return stored(x.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
     def with_comp(df: DataFrame, comp: DataFrame, by: str, name: str) -> DataFrame:
@@ -232,14 +249,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # (iii) what is still apart in a bucket
     member = stored(with_comp(multi.select("key", "id"), comp, "id", "c"), "members")
     kinds = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = kinds.groupBy(F.col("key").alias("k")).agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-    mixed = mixed.filter("kinds > 1").select("k", "main", ((F.col("n") - F.col("top")) * F.col("n") > WIDE).alias("wide"))
-    inside = stored(member.join(mixed, F.col("key") == F.col("k")).select("key", "id", "c", "main", "wide"), "mixed")
-    wide = inside.filter("wide").join(reps.select(F.col("id").alias("ri"), "bands"), F.col("id") == F.col("ri")).select("key", "id", "c", "main", F.explode("bands").alias("second")).filter("key <> second")
-    both = inside.filter("not wide").select("key", "id", "c", "main", F.lit(0).cast("long").alias("second")).union(wide.select("key", "id", "c", "main", "second"))
+    mixed = kinds.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("k")
+    inside = member.join(mixed, F.col("key") == F.col("k"), "left_semi").select("id", "c").distinct()
+    sets = inside.join(near_text.select(F.col("id").alias("ti"), "text"), F.col("id") == F.col("ti")).select("id", "c", "text")
+    shingle = stored(sets.mapInArrow(_sets(k), "id long, c long, size long, t array<long>"), "sets").select("id", "c", "size", F.explode("t").alias("t"))
+    often = shingle.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).select(F.col("t").alias("ot"), "n", (F.col("c1") < F.col("c2")).alias("apart"))
+    ordered = shingle.join(often, F.col("t") == F.col("ot")).withColumn("at", F.row_number().over(Window.partitionBy("id", "size").orderBy("n", "t")))
+    early = ordered.filter((100 * (F.col("size") - F.col("at") + 1) >= percent * F.col("size")) & F.col("apart"))
+    early = stored(early.select("id", "c", "size", "t", "at"), "prefixes")
+    most = early.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("t").alias("mt")).agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    both = early.join(most, F.col("t") == F.col("mt")).select("t", "id", "c", "main", "size", "at")
     left = both.filter("c <> main")
-    right = both.select(F.col("key").alias("k2"), F.col("second").alias("s2"), F.col("id").alias("id2"), F.col("c").alias("c2"))
-    rest = left.join(right, (F.col("key") == F.col("k2")) & (F.col("second") == F.col("s2")) & (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("id") < F.col("id2"))))
+    right = both.select(F.col("t").alias("t2"), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("at").alias("at2"))
+    apart = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("id") < F.col("id2")))
+    # from here on at most so many shingles can be common; a link needs percent / (100 + percent) of both sizes
+    enough = (100 + percent) * (1 + F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))) >= percent * (F.col("size") + F.col("size2"))
+    rest = left.join(right, (F.col("t") == F.col("t2")) & apart & enough)
     rest = rest.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
     rest = rest.join(stars.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
     more = verify(rest)
