@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from strandflow.plans import adapters, alignments, intervals_runs, sequences, signals  # noqa: F401  (they register their queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(adapters.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(adapters.ORACLES)
