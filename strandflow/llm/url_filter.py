@@ -26,6 +26,8 @@ BUCKETS, GRAMS = 1 << 12, (3, 4, 5)
 #: Names of sites to block and to allow, from which the labelled table is made.
 BLOCKED = ["casino", "casino-win", "poker", "free-bets", "bet", "slots", "jackpot", "spam-farm", "spam", "cheap-pills", "pills", "viagra", "xxx", "adult", "porn", "sex-cams", "warez", "crack", "torrent", "phish", "malware", "scam", "payday-loan", "click-ads"]
 ALLOWED = ["news", "library", "school", "museum", "weather", "science", "history", "garden", "kitchen", "travel", "health", "sport", "music", "docs", "forum", "review", "city", "street", "river", "mountain", "theory", "author", "station", "other"]
+#: Syllables that make further allowed names: what says nothing of a site must not speak against it.
+SYLLABLES = ["th", "st", "re", "er", "in", "on", "an", "ou", "sh", "ti", "en", "nd", "es", "or", "al", "it", "ble", "tion"]
 PLACES = ["", "www.", "m.", "blog."]
 ENDINGS = ["example.com", "example.net", "example.org"]
 PATHS = ["/", "/en/17", "/de/2381", "/es/904.html", "/fr/55/", "/index.html"]
@@ -37,6 +39,8 @@ def labelled_urls() -> list[tuple[str, int]]:
     for i, (place, ending) in enumerate(product(PLACES, ENDINGS)):
         for names, y in ((BLOCKED, 1), (ALLOWED, 0)):
             rows += [(f"https://{place}{n}.{ending}{PATHS[(i + j) % len(PATHS)]}", y) for j, n in enumerate(names)]
+    made = [a + b + c for (i, a), (j, b), (k, c) in product(enumerate(SYLLABLES), repeat=3) if (i + 5 * j + 7 * k) % 12 == 0]
+    rows += [(f"https://{PLACES[i % 4]}{n}.{ENDINGS[i % 3]}{PATHS[i % 6]}", 0) for i, n in enumerate(made)]
     return rows
 
 
@@ -58,7 +62,7 @@ def grams(host: str, path: str) -> set[int]:
     return out
 
 
-def train(rows: list[tuple[str, int]], l2: float = 3e-3) -> np.ndarray:
+def train(rows: list[tuple[str, int]], l2: float = 1e-5) -> np.ndarray:
     """One weight a bucket and, last, the bias (held under 0, so that a URL without n-grams is allowed)."""
     x = np.zeros((len(rows), BUCKETS + 1))
     for r, (url, _) in enumerate(rows):
@@ -67,7 +71,7 @@ def train(rows: list[tuple[str, int]], l2: float = 3e-3) -> np.ndarray:
         x[r, -1] = 1
     used = np.flatnonzero(x.any(axis=0))
     w = np.zeros(BUCKETS + 1)
-    w[used] = fit_logistic(x[:, used], np.array([y for _, y in rows], dtype=float), l2=l2, steps=15)
+    w[used] = fit_logistic(x[:, used], np.array([y for _, y in rows], dtype=float), l2=l2, steps=8)
     w[-1] = min(w[-1], -0.1)
     return w
 
