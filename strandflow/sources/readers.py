@@ -55,7 +55,7 @@ def write_presets(df: DataFrame, path: str) -> None:
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Sequence names and places of an index annotation: a header, then two lines a sequence (name line; offset, length, holes)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "line")).filter("i > 0")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "line")).filter("i > 0")
     first = lines.filter("i % 2 = 1").select(((F.col("i") + 1) / 2).cast("int").alias("n"), F.get(F.split("line", " "), 1).alias("name"))
     second = lines.filter("i % 2 = 0").select((F.col("i") / 2).cast("int").alias("n"), F.get(F.split("line", " "), 0).cast("long").alias("offset"), F.get(F.split("line", " "), 1).cast("long").alias("len"))
     return first.join(second, "n").select((F.col("n") - 1).alias("rid"), "name", "offset", "len")
