@@ -215,6 +215,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = stored(reps, "reps")
     bands = reps.select("id", F.explode("bands").alias("key"))
     full = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select(F.col("key").alias("k"), "leader")
+    # written first: a join with a bare shuffle on both sides can split a hot key, one with an aggregate can't
+    full = stored(full, "full")
     multi = stored(bands.join(full, F.col("key") == F.col("k")).select("key", "id", "leader"), "buckets")
 
     # texts and signatures of those that share a bucket with another
@@ -250,14 +252,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     member = stored(with_comp(multi.select("key", "id"), comp, "id", "c"), "members")
     kinds = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = kinds.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("k")
+    mixed = stored(mixed, "mixed")
     inside = member.join(mixed, F.col("key") == F.col("k"), "left_semi").select("id", "c").distinct()
     sets = inside.join(near_text.select(F.col("id").alias("ti"), "text"), F.col("id") == F.col("ti")).select("id", "c", "text")
     shingle = stored(sets.mapInArrow(_sets(k), "id long, c long, size long, t array<long>"), "sets").select("id", "c", "size", F.explode("t").alias("t"))
     often = shingle.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).select(F.col("t").alias("ot"), "n", (F.col("c1") < F.col("c2")).alias("apart"))
+    often = stored(often, "often")
     ordered = shingle.join(often, F.col("t") == F.col("ot")).withColumn("at", F.row_number().over(Window.partitionBy("id", "size").orderBy("n", "t")))
     early = ordered.filter((100 * (F.col("size") - F.col("at") + 1) >= percent * F.col("size")) & F.col("apart"))
     early = stored(early.select("id", "c", "size", "t", "at"), "prefixes")
     most = early.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("t").alias("mt")).agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    most = stored(most, "most")
     both = early.join(most, F.col("t") == F.col("mt")).select("t", "id", "c", "main", "size", "at")
     left = both.filter("c <> main")
     right = both.select(F.col("t").alias("t2"), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("at").alias("at2"))
