@@ -4,11 +4,10 @@ Proved offline, from the vocabulary alone (``Prover``):
 
 * No piece has the word mark after another character, so no merge crosses the start of a word: a text's count
   is the sum over its pre-tokens (a run of marks and what follows up to the next mark).
-* No piece holds some pairs of neighbouring characters, so a pre-token can also be cut between such a pair.
-* Which vocabulary strings encode, alone, as one token: a fragment that is such a string counts as one.
+* Which pre-tokens encode, alone, as one token.
 
-Only fragments outside that table are merged, by the library's own encoder without its dummy prefix; counts of
-words are remembered per worker in a bounded table.
+Pre-tokens in that table are counted directly. Those of a text that are not are put together, still with their
+marks, and merged by the library's own encoder in one call a text.
 
 Edge cases: null and empty texts have no tokens and 0 bytes; strings of control pieces inside a text are plain
 text, as the library has it; repeated rows repeat; an empty table gives an empty result; other columns are ignored.
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +27,12 @@ from strandflow.llm.common import bound_batches
 
 MODEL, LIMIT = "piece_bpe_32k", 4096
 MARK = "▁"
-CACHE = 300_000
 
 
-class Prover(dict):
-    """Pre-token (without one leading mark) -> count; built from the model file alone."""
+class Prover:
+    """The whole-token table and an encoder without dummy prefix, both from the model file."""
 
     def __init__(self, model: str = MODEL):
-        super().__init__()
         import public_tokenizers as files
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -48,36 +46,23 @@ class Prover(dict):
         pieces = [p.piece for p in proto.pieces if p.type in (1, 4)]
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece goes on past the start of a word")
-        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         spec.add_dummy_prefix = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.single = {p for p, ids in zip(pieces, self.plain.encode(pieces), strict=True) if len(ids) == 1}
-
-    def fragments(self, token: str) -> list[str]:
-        cuts = [i for i in range(1, len(token)) if token[i - 1 : i + 1] not in self.joined]
-        return [token[a:b] for a, b in zip([0, *cuts], [*cuts, len(token)], strict=True)]
-
-    def merged(self, token: str) -> int:
-        """Tokens of a pre-token that is written with marks."""
-        if token in self.single:
-            return 1
-        parts = self.fragments(token)
-        rest = [x for x in parts if x not in self.single]
-        return len(parts) - len(rest) + sum(map(len, self.plain.encode(rest)))
-
-    def __missing__(self, word: str) -> int:
-        n = self.merged(MARK + word)
-        if len(self) < CACHE:
-            self[word] = n
-        return n
+        #: words that are one token with their mark
+        self.whole = frozenset(p[1:] for p, ids in zip(pieces, self.plain.encode(pieces), strict=True) if len(ids) == 1 and p[0] == MARK and len(p) > 1 and p[1] != MARK)
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         text = text.replace(MARK, " ")
         if "  " in text or text[0] == " " or text[-1] == " ":
-            return sum(self.merged(x.replace(" ", MARK)) for x in _RUNS.findall(f" {text}"))
-        return sum(map(self.__getitem__, text.split(" ")))
+            # runs of marks may merge: each run stays with the word behind it
+            rest = [x for x in _RUNS.findall(f" {text}") if x[1:] not in self.whole]
+            n = len(_RUNS.findall(f" {text}")) - len(rest)
+            return n + len(self.plain.encode("".join(rest)))
+        words = text.split(" ")
+        rest = list(filterfalse(self.whole.__contains__, words))
+        return len(words) - len(rest) + (len(self.plain.encode(f" {' '.join(rest)}")) if rest else 0)
 
 
 _RUNS = re.compile(r" +[^ ]+| +$")
