@@ -99,11 +99,11 @@ def activity(gaps: DataFrame, limit: int) -> DataFrame:
 
 def allocation(counts: DataFrame, total: int, least: int) -> DataFrame:
     """Targets of reads per channel: ``least`` and a share of the rest by what the channel has over it, rounded half to even,
-    and mended by one from the last channel backwards until they add up to ``total``. One row a channel."""
+    and mended by one from the last channel backwards until they add up to ``total``. Where no channel has anything over, targets are plain shares. One row a channel."""
     w = Window.partitionBy()
     df = counts.withColumn("share", F.col("n") / F.sum("n").over(w))
     df = df.withColumn("remain", F.lit(total) * F.col("share") - least).withColumn("over", F.greatest("remain", F.lit(0.0)))
-    df = df.withColumn("raw", least + F.sum("remain").over(w) * F.col("over") / F.sum("over").over(w)).withColumn("target", F.bround("raw").cast("long"))
+    df = df.withColumn("raw", least + F.sum("remain").over(w) * F.col("over") / F.nullif(F.sum("over").over(w), F.lit(0.0))).withColumn("raw", F.coalesce("raw", F.lit(total) * F.col("share"))).withColumn("target", F.bround("raw").cast("long"))
     df = df.withColumn("error", F.lit(total) - F.sum("target").over(w)).withColumn("back", F.row_number().over(Window.orderBy(F.col("channel").desc())))
     mended = F.col("target") + F.when(F.col("back") <= F.abs("error"), F.signum("error").cast("long")).otherwise(0)
     return df.select("channel", "n", mended.alias("target"))

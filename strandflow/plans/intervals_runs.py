@@ -141,7 +141,7 @@ def scans_removed(spark, sf):
     return R.remove_scans(s, scans)
 
 
-_ALLOC = """n AS (SELECT user_id AS channel, count(*) AS n FROM events GROUP BY 1), s AS (SELECT *, 5000 * (n / (SELECT sum(n) FROM n)) - 20 AS remain FROM n), o AS (SELECT *, greatest(remain, 0) AS ov FROM s), t AS (SELECT *, CAST(round_even(20 + (SELECT sum(remain) FROM o) * ov / (SELECT sum(ov) FROM o), 0) AS BIGINT) AS target FROM o),
+_ALLOC = """n AS (SELECT user_id AS channel, count(*) AS n FROM events GROUP BY 1), s AS (SELECT *, 5000 * (n / (SELECT sum(n) FROM n)) - 20 AS remain FROM n), o AS (SELECT *, greatest(remain, 0) AS ov FROM s), t AS (SELECT *, CAST(round_even(coalesce(20 + (SELECT sum(remain) FROM o) * ov / (SELECT nullif(sum(ov), 0) FROM o), remain + 20), 0) AS BIGINT) AS target FROM o),
 e AS (SELECT *, 5000 - (SELECT sum(target) FROM t) AS err, row_number() OVER (ORDER BY channel DESC) AS back FROM t), a AS (SELECT channel, n, target + CASE WHEN back <= abs(err) THEN CAST(sign(err) AS BIGINT) ELSE 0 END AS target FROM e)"""
 
 
