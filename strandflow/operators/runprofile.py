@@ -82,6 +82,22 @@ def assemble_scans(found: list[tuple[float, float, int, float]], limit: float =
     return out
 
 
+def mux_scans(summary: DataFrame, gap: float = 1.0, limit: float = 20.0, share: float = 0.95, width: float = 3600.0) -> DataFrame:
+    """(scan_st, scan_en) of the mux scans of a run: blocks of all channels' reads, each block's commonest mux, then ``assemble_scans``.
+
+    Blocks are merged within stretches of ``width`` first, so that the one ordered pass sees blocks and not reads.
+    """
+    from strandflow.functions.intervals import range_join
+
+    st, en = F.col("st").cast("double"), F.col("en").cast("double")
+    reads = summary.select("mux", st.alias("st"), en.alias("en"))
+    parts = merge(reads.withColumn("_w", F.floor(F.col("st") / width)), ["_w"], "st", "en", gap)
+    whole = merge(parts.select(F.lit(0).alias("run"), "st", "en"), ["run"], "st", "en", gap).select(F.col("st").alias("block"), F.col("en").alias("block_en"))
+    top = mux_majority(range_join(reads, "st", whole.withColumn("_to", F.col("block_en") + gap / 2), "block", "_to", width), "block", share)
+    found = sorted(tuple(r) for r in whole.join(top, "block").select("block", "block_en", "mux", "share").collect())  # one row a block
+    return summary.sparkSession.createDataFrame(assemble_scans(found, limit, share), "scan_st double, scan_en double")
+
+
 def remove_scans(summary: DataFrame, scans: DataFrame) -> DataFrame:
     """Reads inside a scan go; later ones move up by the length of the scans before them. Scans (scan_st, scan_en) are few: broadcast."""
     joined = summary.join(F.broadcast(scans), (F.col("scan_st") <= F.col("en")) & (F.col("scan_st") <= F.col("st")), "left")

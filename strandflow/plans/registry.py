@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandflow.plans import adapters, alignments, intervals_runs, sequences, signals  # noqa: F401  (they register their queries)
+from strandflow.plans import adapters, alignments, intervals_runs, sequences, signals, traces  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:

@@ -61,6 +61,44 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return first.join(second, "n").select((F.col("n") - 1).alias("rid"), "name", "offset", "len")
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, p): fields of every line, numbered within its file. A dump is one read's, so files are short."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    lines = files.select("file", F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "line"))
+    return lines.select("file", F.col("i").cast("long").alias("i"), F.split(F.btrim("line"), r"\s+").alias("p")).filter("p[0] <> ''")
+
+
+def read_event_dump(spark: SparkSession, path: str) -> DataFrame:
+    """A read's events, numbered after the header line."""
+    names = ["mean", "stdv", "norm_scale", "norm_shift", "win_mean", "win_stdv"]
+    rows = _numbered(spark, path).filter("i > 0")
+    numbers = [F.get("p", i + 2).cast("double").alias(c) for i, c in enumerate(names)]
+    return rows.select("file", (F.col("i") - 1).alias("evt"), F.get("p", 0).cast("long").alias("start"), F.get("p", 1).cast("long").alias("length"), *numbers, (F.get("p", 8) == "1").alias("mask"))
+
+
+def parse_seeds(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Seed lines (sequence, start, end, event:path:cluster, strand), which hold all that their order means."""
+    p, name = F.split(F.btrim(F.col(column)), r"\s+"), F.split("_name", ":")
+    rows = lines.select(p.alias("p")).filter(F.size("p") >= 5).withColumn("_name", F.get("p", 3))
+    cols = [F.get(name, i).cast("long").alias(c) for i, c in enumerate(("evt", "path", "cluster"))]
+    return rows.select(F.get("p", 0).alias("rf"), F.get("p", 1).cast("long").alias("st"), F.get("p", 2).cast("long").alias("en"), *cols, (F.get("p", 4) == "+").alias("is_fwd"))
+
+
+def read_path_dump(spark: SparkSession, path: str) -> DataFrame:
+    """A read's paths; fields stand by the header's names, and a header that comes again is no row."""
+    rows = _numbered(spark, path)
+    head = rows.filter("i = 0").select("file", F.col("p").alias("h"))
+    rows = rows.join(head, "file").filter("p[0] <> h[0]").select("file", F.map_from_arrays("h", F.slice("p", F.lit(1), F.size("h"))).alias("m"))
+    kinds = {"parent": "string", "fm_start": "long", "fm_len": "long", "kmer": "string", "full_len": "int", "match_prob": "double", "moves": "string"}
+    ident = F.split(F.col("m")["id"], ":")
+    return rows.select("file", F.get(ident, 0).cast("long").alias("evt"), F.get(ident, 1).cast("long").alias("path"), *[F.col("m")[c].cast(t).alias(c) for c, t in kinds.items()])
+
+
+def read_confidence_dump(spark: SparkSession, path: str) -> DataFrame:
+    rows = _numbered(spark, path).filter("i > 0")
+    return rows.select("file", F.get("p", 0).cast("long").alias("evt"), F.get("p", 1).cast("long").alias("cluster"), F.get("p", 2).cast("double").alias("top"), F.get("p", 3).cast("double").alias("mean"))
+
+
 def read_dtw_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="rd_name string, rd_st long, rd_en long, rf_name string, rf_st long, rf_en long, strand string")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import intervals, kmers
 from strandflow.functions import signal as S
-from strandflow.operators import index, masking, runprofile, simulate
+from strandflow.operators import index, masking, presets, runprofile, simulate, traces
 from strandflow.operators.dtw import DtwConfig, warp
 from strandflow.operators.index import FmIndex
 from strandflow.operators.segment import boundaries, events, statistic
@@ -113,3 +113,57 @@ def test_timeline(spark):
     assert [(r.st, r.en) for r in simulate.timeline(ch).orderBy("n").collect()] == [(1.0, 3.0), (4.0, 6.0), (7.0, 9.0)]
     ejected = spark.createDataFrame([(1, 0, 0.5)], "channel long, n long, delay double")
     assert [(r.st, round(r.en, 2)) for r in simulate.timeline(ch, ejected, 0.5).orderBy("n").collect()][:2] == [(1.0, 1.5), (3.0, 5.0)]
+
+
+def test_growth_widens_or_begins_blocks():
+    seeds = [("a", 0, 10), ("a", 5, 12), ("a", 30, 40), ("b", 31, 41), ("a", 2, 4)]
+    assert list(traces.growth(seeds)) == [(10, 10, 0), (2, 12, 0), (10, 22, 1), (10, 32, 2), (2, 34, 3)]
+    assert list(traces.growth([])) == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 6), st.sampled_from("MIDNSHP=X")), max_size=8), st.booleans())
+def test_cigar_pairs_against_plain_steps(spark, ops, fwd):
+    want, q, r = [], 3, 0
+    for n, o in ops if fwd else ops[::-1]:
+        both = [n if o in side else 1 for side in (traces.ALONG_QUERY, traces.ALONG_REFERENCE)]
+        want += [(q + i, r + i) for i in range(min(both))]
+        q, r = q + n * (o in traces.ALONG_QUERY), r + n * (o in traces.ALONG_REFERENCE)
+    df = spark.createDataFrame([(1, "".join(f"{n}{o}" for n, o in ops), 3, fwd), (2, None, 0, True)], "id long, cigar string, qr_st long, is_fwd boolean")
+    assert sorted((x.qr, x.rf) for x in traces.cigar_pairs(df, "id").collect()) == sorted(want)
+
+
+def test_packed_bits(spark):
+    df = spark.createDataFrame([(b"\x81\x0f",), (b"",), (None,)], "b binary")
+    got = [r[0] for r in df.select(traces.packed_bits(F.col("b"))).collect()]
+    assert got == [[1, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 1, 1, 1], [], []]
+
+
+def test_preset_search_meets_its_targets(spark):
+    seqs = spark.createDataFrame([(1, simulate.make_reference(6000))], "doc_id long, seq string")
+    grown = presets.extensions(seqs, "doc_id", 5, 12)
+    rows = grown.collect()
+    paths = {}
+    for r in sorted(rows, key=lambda r: (r.pos, r.step)):
+        paths.setdefault(r.pos, []).append(r.copies)
+    counts = presets.profile(grown, "doc_id")
+    plain = np.zeros_like(counts)
+    for p in paths.values():
+        for i in range(counts.shape[1]):
+            plain[int(np.log2(p[i])) if i < len(p) else 0, i] += 1
+    assert np.array_equal(counts, plain)
+    grid = np.linspace(-12, -0.5, 200)
+    mean, stdv = simulate.make_model()
+    own, seen = presets.model_table(mean, stdv, grid)
+    assert (np.diff(own) <= 0).all() and (np.diff(seen) <= 0).all() and 0 <= own[-1] <= own[0] <= 1
+    s = presets.Search(counts, grid, own, seen)
+    assert abs(s.find(prob=0.3).prob - 0.3) < 1e-3
+    mid = (s.speed(0.5) + s.speed(8)) / 2
+    assert abs(s.find(speed=mid).speed - mid) < 1e-2
+    assert len(s.find(speed=1e9).thresholds) == len(counts)
+
+
+def test_mux_scans_over_blocks(spark):
+    rows = [(m, 100.0 + 10 * i + d, 103.0 + 10 * i + d) for i, m in enumerate((1, 2, 3, 4)) for d in (0.0, 0.5)] + [(1, 150.0, 900.0), (2, 151.0, 160.0)]
+    got = runprofile.mux_scans(spark.createDataFrame(rows, "mux long, st double, en double"), width=7.0).collect()
+    assert [tuple(r) for r in got] == [(0.0, 150.0)]

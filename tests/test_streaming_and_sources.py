@@ -72,6 +72,21 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(r) for r in readers.read_presets(spark, str(tmp_path / "out")).collect()] == [("default", 0.3, 115.0, [-10.0, -3.0])]
 
 
+def test_dumps(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text("start\tlength\tmean\tstdv\tnorm_scale\tnorm_shift\twin_mean\twin_stdv\twin_mask\n0\t9\t80.5\t1\t2\t-3\t81\t6\t1\n9\t7\t70\t1\t2\t-3\t80\t4\t0\n")
+    events = readers.read_event_dump(spark, str(tmp_path / "e.tsv")).orderBy("evt").collect()
+    assert [(r.evt, r.start, r.length, r["mean"], r.norm_scale, r.mask) for r in events] == [(0, 0, 9, 80.5, 2.0, True), (1, 9, 7, 70.0, 2.0, False)]
+    (tmp_path / "s.bed").write_text("chr1\t100\t126\t7:3:12\t+\nchr1\t90\t116\t8:0:12\t-\nshort line\n")
+    seeds = readers.parse_seeds(spark.read.text(str(tmp_path / "s.bed"))).orderBy("evt").collect()
+    assert [tuple(r) for r in seeds] == [("chr1", 100, 126, 7, 3, 12, True), ("chr1", 90, 116, 8, 0, 12, False)]
+    head = "id\tparent\tfm_start\tfm_len\tkmer\tfull_len\tmatch_prob\tmoves"
+    (tmp_path / "p.tsv").write_text(f"{head}\n5:1\t4:0\t10\t2\tACGTA\t22\t-2.5\t0110\n{head}\n6:0\t5:1\t11\t1\tCGTAC\t22\t-2\t1101\n")
+    paths = readers.read_path_dump(spark, str(tmp_path / "p.tsv")).orderBy("evt").collect()
+    assert [(r.evt, r.path, r.parent, r.fm_len, r.kmer, r.match_prob, r.moves) for r in paths] == [(5, 1, "4:0", 2, "ACGTA", -2.5, "0110"), (6, 0, "5:1", 1, "CGTAC", -2.0, "1101")]
+    (tmp_path / "c.tsv").write_text("evt\tclust\ttop\tmean\n30\t12\t2.5\t7\n")
+    assert [tuple(r)[1:] for r in readers.read_confidence_dump(spark, str(tmp_path / "c.tsv")).collect()] == [(30, 12, 2.5, 7.0)]
+
+
 def test_paf_text(spark, tmp_path):
     lines = ["# comment", "r1\t100\t1\t50\t+\tchr1\t1000\t10\t60\t40\t51\t255\tmt:f:5.5\tct:Z:a:b", "r2\t80\t*\t*\t*\t*\t*\t*\t*\t*\t*\t255"]
     (tmp_path / "a.paf").write_text("\n".join(lines) + "\n")
