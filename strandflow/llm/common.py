@@ -8,8 +8,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch handed to Python; texts may be long, so batches stay small.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch handed to Python; texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as memory follows the longest texts."""
+    """Bound the rows and bytes of an Arrow batch, as memory follows the longest texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
