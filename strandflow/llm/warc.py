@@ -8,7 +8,8 @@ Of records with equal payloads of at least ``least`` bytes, the one with the lar
 the others are revisits that refer to it; smaller ones are all responses.
 
 Edge cases: null html is an empty payload, null or control-character URLs are written percent-escaped; rows that
-share page_id and payload are all responses if theirs is the largest page_id; a null page_id is written as "none" and read back as null; an empty table gives an empty archive; other columns are ignored. A hot payload makes a skewed join key, which adaptive execution splits.
+share page_id and payload are all responses if theirs is the largest page_id; a null page_id is written as "none" and read back as null; an empty table gives an empty archive; other columns are ignored. A hot payload makes a
+skewed join key; both sides of each join are written tables, so adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import scratch_path
+from strandflow.llm.common import scratch_path, stored
 
 DATE = "1970-01-01T00:00:00Z"
 
@@ -31,8 +32,10 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, digest, sha1, payload, header of each page's record."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "sha1": base32(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("first_id")).withColumnRenamed("digest", "d")
-    rows = rows.join(first, F.col("digest") == F.col("d"))
+    first = rows.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    # written first: a join with a bare shuffle on both sides can split a hot digest, one with an aggregate can't
+    first = stored(first.select(F.col("digest").alias("d"), "first_id"), "copies")
+    rows = rows.join(first, F.col("digest") == F.col("d"), "left")
     revisit = (F.col("size") >= least) & (F.col("page_id") < F.col("first_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
