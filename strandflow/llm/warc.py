@@ -59,9 +59,10 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     records(pages, least).select("digest", "header").write.parquet(f"{path}/headers")
     body = pages.select(F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     # max of equal payloads: any copy; partial aggregation keeps one a task before the shuffle
-    store = body.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.max("payload").alias("payload"), F.min("payload").alias("least"))
-    # two different payloads under one digest would show here
-    store.select("digest", F.when(F.col("payload") == F.col("least"), F.col("payload")).otherwise(F.raise_error(F.lit("digest collision"))).alias("payload")).write.parquet(f"{path}/payloads")
+    check = F.struct(F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
+    store = body.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.max("payload").alias("payload"), F.min(check).alias("least"), F.max(check).alias("most"))
+    # two payloads under one digest would show in the second digest or the size
+    store.select("digest", F.when(F.col("least") == F.col("most"), F.col("payload")).otherwise(F.raise_error(F.lit("digest collision"))).alias("payload")).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
