@@ -7,6 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandflow.functions import kmers as K
+from strandflow.operators.segment import SegmentConfig, events
 
 #: Pairs of longer inputs get a null score (memory guard).
 MAX_POINTS = 50_000
@@ -72,3 +76,56 @@ def align(pairs: DataFrame, conf: DtwConfig = DtwConfig()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return pairs.selectExpr("cast(id as bigint) id", "cast(signal as array<double>) signal", "cast(levels as array<double>) levels").mapInArrow(run, "id long, score double, mean_score double, path_length long")
+
+
+def kept_events(levels: np.ndarray, length: int = 25, least: float = 5.0) -> np.ndarray:
+    """Which of a whole read's events no still window holds: windows of ``length`` events with a standard deviation under ``least``.
+
+    An event before the last ``length`` ones is judged by the windows that end after it, the others by those that end from it on.
+    """
+    n = len(levels)
+    still = np.zeros(n, dtype=bool)
+    for j in range(length // 2, n):
+        still[j] = levels[max(0, j - length + 1) : j + 1].std() < least
+    return np.array([not (still[p + 1 : p + length] if p <= n - length else still[p:]).any() for p in range(n)], dtype=bool)
+
+
+def warp_reads(reads: DataFrame, queries: DataFrame, refs: DataFrame, mean: np.ndarray, conf: DtwConfig = EVENT_COLUMNS, k: int = 5, by_event: bool = True) -> DataFrame:
+    """Each query's span of a read warped onto the levels of its reference span: (rd_name, rf_name, rf_st, score, mean_score, path_length).
+
+    ``reads``: read_id, signal; ``queries``: as ``read_dtw_queries`` gives them (both read ends 0: the whole read; end 0:
+    to its end); ``refs``: name, seq; ``mean``: the model's 4^k levels. The signal, or its events without still ones, is
+    scaled to the mean and deviation of the span's levels. Spans without a k-mer, empty signals and too long ones have null scores.
+    """
+    x = queries.join(reads.select(F.col("read_id").cast("string").alias("_r"), "signal"), F.col("rd_name") == F.col("_r"))
+    x = x.join(refs.select(F.col("name").alias("_n"), "seq"), F.col("rf_name") == F.col("_n"))
+    span = F.substr("seq", (F.col("rf_st") + 1).cast("int"), (F.col("rf_en") - F.col("rf_st")).cast("int"))
+    codes = lambda s: F.transform(K.kmers(s, k), lambda m: K.encode(m))
+    to = F.when(F.col("rd_en") == 0, F.size("signal")).otherwise(F.col("rd_en"))
+    part = F.slice("signal", (F.col("rd_st") + 1).cast("int"), F.greatest(to - F.col("rd_st"), F.lit(0)).cast("int"))
+    x = x.select("rd_name", "rf_name", "rf_st", codes(F.when(F.col("strand") == "-", K.reverse_complement(span)).otherwise(span)).alias("codes"), part.cast("array<double>").alias("part"))
+    kinds = [("score", pa.float64()), ("mean_score", pa.float64()), ("path_length", pa.int64())]
+    keys = ["rd_name", "rf_name", "rf_st"]
+    schema = pa.schema([("rd_name", pa.string()), ("rf_name", pa.string()), ("rf_st", pa.int64()), *kinds])
+
+    def score(codes: list | None, part: list | None) -> tuple:
+        if not codes or None in codes or not part:
+            return None, None, None
+        y, found = mean[np.array(codes)], np.array(part)
+        if by_event:
+            found = np.array([e[2] for e in events(found, SegmentConfig())])
+            found = found[kept_events(found)] if len(found) else found
+        if not len(found) or len(found) > MAX_POINTS or len(y) > MAX_POINTS:
+            return None, None, None
+        sd = found.std()
+        found = (found - found.mean()) * (y.std() / sd if sd > 0 else 1.0) + y.mean()
+        total, path = warp(np.abs(y[:, None] - found[None, :]), conf)
+        return total, total / len(path), len(path)
+
+    def run(batches):
+        for batch in batches:
+            rows = [score(c, s.as_py()) for c, s in zip(batch.column("codes").to_pylist(), batch.column("part"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *[pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)]], schema=schema)
+
+    x = x.select(F.col("rd_name").cast("string").alias("rd_name"), F.col("rf_name").cast("string").alias("rf_name"), F.col("rf_st").cast("long").alias("rf_st"), "codes", "part")
+    return x.mapInArrow(run, "rd_name string, rf_name string, rf_st long, score double, mean_score double, path_length long")
