@@ -1,8 +1,9 @@
 """Licence scans by sentence rules (DataFrame functions only).
 
 A text is cut into sentences (lines, and sentence ends before white space); each sentence is normalised to lower
-case letters and digits with single spaces and mapped to the identifier of a known licence sentence. The row of
-identifiers is matched against ordered rules: a rule fits where its identifiers stand in that order, other known
+case letters and digits with single spaces and mapped to the identifier of a known licence sentence, in its short or
+its genuine form. A known sentence may be wrapped: single line ends are allowed between its words, blank lines and
+sentence ends only where the genuine text has them. ``n_sentences`` counts the cut pieces. The row of identifiers is matched against ordered rules: a rule fits where its identifiers stand in that order, other known
 sentences allowed between them. Of fitting rules those that another fitting rule contains are left out.
 
 Edge cases: null and empty texts have one empty sentence at most and no licence; repeated rows repeat; an empty
@@ -33,6 +34,14 @@ SENTENCES = {
     13: "this work is licensed under a creative commons attribution 4 0 international license",
     14: "this software is provided by the copyright holders and contributors as is",
 }
+#: The same sentences as the licences themselves have them, where they differ; " | " is a sentence end inside.
+GENUINE = {
+    2: "licensed under the apache license version 2 0 the license",
+    5: "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    7: "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    12: "this program is free software | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    14: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+}
 #: Ordered rules: name, licence, identifiers in order.
 RULES = [
     ("mit-line", "MIT", [1]),
@@ -48,6 +57,8 @@ RULES = [
 ]
 #: Cuts between sentences, and what normalising turns into one space.
 CUT, OTHER = r"\n+|[.!?;:]+\s+", "[^a-z0-9]+"
+#: Cuts that no known sentence runs over, and what is normalised when cuts ("|") and line ends ("~") are marked.
+FULL_CUT, UNMARKED = r"[.!?;:]+\s+|\n[^\S\n]*\n\s*", "[^a-z0-9|~]+"
 
 
 def pattern(ids: list[int]) -> str:
@@ -65,13 +76,23 @@ def contained() -> dict[str, list[str]]:
     return {n: [m for m, _, other in RULES if within(ids, other)] for n, _, ids in RULES}
 
 
+def sentence_pattern() -> str:
+    """Matches a known sentence of a marked text, framed by marks."""
+    forms = sorted({*SENTENCES.values(), *GENUINE.values()}, key=len, reverse=True)
+    wrapped = [r"(?: [|~])? ".join(part.replace(" ", "(?: ~)? ") for part in s.split(" | ")) for s in forms]
+    return f"(?<=[|~] )(?:{'|'.join(wrapped)})(?= [|~])"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_sentences, sentence_ids (comma-joined), rules, licenses (comma-joined, sorted)."""
-    known = F.create_map(*[F.lit(x) for x in chain.from_iterable((s, i) for i, s in SENTENCES.items())])
-    df = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), CUT).alias("cut"))
-    df = df.select("doc_id", F.transform("cut", lambda s: F.btrim(F.regexp_replace(F.lower(s), OTHER, " "))).alias("said"))
-    df = df.select("doc_id", F.size(F.filter("said", lambda s: s != "")).cast("long").alias("n_sentences"), F.filter("said", lambda s: s.isin(*SENTENCES.values())).alias("hits"))
-    df = df.select("doc_id", "n_sentences", F.array_join(F.transform("hits", lambda s: F.element_at(known, s).cast("string")), ",").alias("sentence_ids"))
+    plain = {s.replace(" | ", " "): i for forms in (SENTENCES, GENUINE) for i, s in forms.items()}
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(plain.items())])
+    low = F.lower(F.coalesce("text", F.lit("")))
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), CUT), lambda s: F.lower(s).rlike("[a-z0-9]"))).cast("long")
+    marked = F.regexp_replace(F.regexp_replace(F.translate(low, "|~", ",,"), FULL_CUT, " | "), "\n", " ~ ")
+    df = docs.select("doc_id", n.alias("n_sentences"), F.concat(F.lit("| "), F.btrim(F.regexp_replace(marked, UNMARKED, " ")), F.lit(" |")).alias("marked"))
+    hits = F.regexp_extract_all("marked", F.lit(sentence_pattern()), F.lit(0))
+    df = df.select("doc_id", "n_sentences", F.array_join(F.transform(hits, lambda s: F.element_at(known, F.regexp_replace(s, "[|~] ", "")).cast("string")), ",").alias("sentence_ids"))
     framed = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     df = df.select("*", *[framed.rlike(pattern(ids)).alias(f"r_{n}") for n, _, ids in RULES])
     wider = contained()

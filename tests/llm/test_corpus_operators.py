@@ -264,6 +264,67 @@ def test_licences(spark):
     assert got == {0: ("", ""), 1: ("", ""), 2: ("mit-line", "MIT"), 3: ("mit-full,mit-line", "MIT"), 4: ("apache-line,cc-by-nc-line", "Apache-2.0,CC-BY-NC-4.0"), 5: ("", "")}
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+CLAUSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS"""
+
+
+def test_genuine_licences(spark):
+    want = [(MIT, "mit-full", "MIT"), (APACHE, "apache-header", "Apache-2.0"), (GPL, "gpl3-header", "GPL-3.0-or-later"), (BSD2, "bsd2", "BSD-2-Clause"), (BSD2.replace("\nTHIS", CLAUSE, 1), "bsd3", "BSD-3-Clause")]
+    want = [x for t, r, lic in want for x in ((t, r, lic), (t.replace("\n", "\r\n"), r, lic), ("Some | text ~\n" + t, r, lic))]
+    want += [("x\nReleased under the MIT License\nimport os", "mit-line", "MIT"), ("Released under the\n\nMIT License", "", ""), ("Released under the MIT License here", "", "")]
+    got = {r.doc_id: (r.rules, r.licenses) for r in licenses.scan(docs_of(spark, [(i, t) for i, (t, _, _) in enumerate(want)])).collect()}
+    assert got == {i: (r, lic) for i, (_, r, lic) in enumerate(want)}
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score, kind="stable")) + 1
     pos = np.asarray(label) == 1
