@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from strandflow.llm.common import bound_batches
 
@@ -147,9 +148,7 @@ class Automaton:
 _BUILT: dict[str, Automaton] = {}
 
 
-def _scanner(shipped, name: str, window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
-
+def _scanner(shipped, name: str, window: int, rest: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _BUILT:
             _BUILT.clear()
@@ -163,51 +162,62 @@ def _scanner(shipped, name: str, window: int):
                 n.append(len(words))
                 spans.append([x for s in found for x in s])
                 items.append(sorted(which))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())), *map(batch.column, rest)], names=["doc_id", "rid", "n_words", "spans", "items", *rest])
+
+    return run
+
+
+def _summary(rest: list[str]):
+    def run(batches):
+        for batch in batches:
+            spans, hits, n_items, digests = [], [], [], []
+            for s, it in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                merged: list[list[int]] = []
+                for a, b in sorted(zip(s[::2], s[1::2], strict=True)):
+                    if merged and merged[-1][1] >= a:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                names = sorted(map(str, set(it)))
+                spans.append([x for m in merged for x in m])
+                hits.append(sum(b - a for a, b in merged))
+                n_items.append(len(names))
+                digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("n_words"), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), *map(batch.column, rest)], names=["doc_id", "rid", "n_words", "spans", "n_hit", "n_items", "items_sha256", *rest])
 
     return run
 
 
-def _summary(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
-    for batch in batches:
-        spans, hits, n_items, digests = [], [], [], []
-        for s, it in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for a, b in sorted(zip(s[::2], s[1::2], strict=True)):
-                if merged and merged[-1][1] >= a:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            names = sorted(map(str, set(it)))
-            spans.append([x for m in merged for x in m])
-            hits.append(sum(b - a for a, b in merged))
-            n_items.append(len(names))
-            digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("n_words"), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], schema=schema)
-
-
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, n_words, spans (flat word ranges [start, end)), n_hit, n_items, items_sha256, contaminated."""
+def _typed(rest: list[str], docs: DataFrame, **kinds) -> StructType:
+    return StructType([*[StructField(n, t) for n, t in kinds.items()], *[StructField(c, docs.schema) for c in rest]])
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """Per row: doc_id, n_words, spans (flat word ranges [start, end)), n_hit, n_items, items_sha256, contaminated; with ``carry`` the input's columns as ``row``."""
     spark = docs.sparkSession
     bound_batches(spark)
+    rest, long, longs = ["row"] if carry else [], LongType(), ArrayType(LongType())
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     many = blocks > 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if many else F.lit(0)).cast("long").alias("rid"), F.col("text").cast("binary").alias("text"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(c) for c in rest]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if many else F.lit(0)).cast("long").alias("rid"), F.col("text").cast("binary").alias("text"), *whole)
     parts = []
     for b in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if many else bench
         shipped = spark.sparkContext.broadcast([(r[0], bytes(r[1] or b"")) for r in part.collect()])
-        parts.append(texts.mapInArrow(_scanner(shipped, uuid.uuid4().hex, window), "doc_id long, rid long, n_words long, spans array<long>, items array<long>"))
+        # the first block's rows bring the input's columns
+        kept = rest if b == 0 else []
+        parts.append(texts.drop(*[c for c in rest if c not in kept]).mapInArrow(_scanner(shipped, uuid.uuid4().hex, window, kept), _typed(kept, docs, doc_id=long, rid=long, n_words=long, spans=longs, items=longs)))
     found = parts[0]
     if many:
         for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).select("doc_id", "rid", "n_words", "spans", "items")
-    out = found.mapInArrow(_summary, "doc_id long, rid long, n_words long, spans array<long>, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("rid")
+            found = found.unionByName(p, allowMissingColumns=True)
+        found = found.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), *[F.first(c, ignorenulls=True).alias(c) for c in rest]).select("doc_id", "rid", "n_words", "spans", "items", *rest)
+    out = found.mapInArrow(_summary(rest), _typed(rest, docs, doc_id=long, rid=long, n_words=long, spans=longs, n_hit=long, n_items=long, items_sha256=StringType()))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("rid")
+    return out.select(*[c for c in out.columns if c not in rest], *rest)
 
 
 def remove_spans(text: str | None, spans: list[int]) -> str | None:
@@ -228,7 +238,6 @@ def remove_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents whose hits stay under the coverage limit, with the input's columns."""
-    bad = scan_documents(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents whose hits stay under the coverage limit, with the input's columns; each row is judged by its own text, whatever its doc_id."""
+    return scan_documents(docs, benchmark, block_bytes=block_bytes, carry=True).filter(~F.col("contaminated")).select("row.*")

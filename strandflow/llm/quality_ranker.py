@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from strandflow.llm.common import bound_batches, fit_logistic, stored
 
@@ -80,13 +81,11 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 11) ->
     return {"w": w / scale, "c": float(centre @ (w / scale)), "share": len(bad) / len(s), "low": float(ends[near[0]]), "high": float(ends[near[-1] + 1]), "spread": float(np.subtract(*np.quantile(s, [0.95, 0.05]))) or 1.0}
 
 
-def _score(model: dict):
-    schema = pa.schema([("doc_id", pa.int64()), ("raw", pa.float64())])
-
+def _score(model: dict, rest: list[str]):
     def run(batches):
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(-1, len(model["w"]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x @ model["w"] - model["c"])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x @ model["w"] - model["c"]), *map(batch.column, rest)], names=["doc_id", "raw", *rest])
 
     return run
 
@@ -100,25 +99,27 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held:
     return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("lid")).select("doc_id", "text", "label")
 
 
-def rank(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, raw (Bradley-Terry score), score (0 to 1), predicted (1 if score >= 0.7)."""
+def rank(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE, carry: bool = False) -> DataFrame:
+    """Per row: doc_id, raw (Bradley-Terry score), score (0 to 1), predicted (1 if score >= 0.7); with ``carry`` the input's columns as ``row``."""
     bound_batches(docs.sparkSession)
     rows = labelled(docs, labels, "quality", folds, held, sample).select("doc_id", "label", "text").mapInArrow(_measure, "doc_id long, label int, x array<double>").collect()  # at most ``sample`` short rows
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     model = fit(np.array([r[2] for r in rows]).reshape(len(rows), -1), np.array([r[1] for r in rows])) if rows else None
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rest = ["row"] if carry else []
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(c) for c in rest]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *whole)
     if model is None:
-        return texts.select("doc_id", F.lit(0.0).alias("raw"), F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    scored = stored(texts.mapInArrow(_score(model), "doc_id long, raw double"), "scores")
+        return texts.select("doc_id", F.lit(0.0).alias("raw"), F.lit(1.0).alias("score"), F.lit(1).alias("predicted"), *rest)
+    schema = StructType([StructField("doc_id", LongType()), StructField("raw", DoubleType()), *[StructField(c, docs.schema) for c in rest]])
+    scored = stored(texts.mapInArrow(_score(model, rest), schema), "scores")
     at = scored.agg(F.percentile_approx("raw", float(model["share"]), 10_000)).first()[0]
     cut = min(max(at if at is not None else model["low"], model["low"]), model["high"])
     shift = float(np.log(CUT / (1 - CUT)))
     z = (F.col("raw") - F.lit(cut)) * F.lit(6.0 / model["spread"]) + F.lit(shift)
     score = F.when(F.col("raw") >= F.lit(cut), F.greatest(F.lit(CUT), 1 / (1 + F.exp(-z)))).otherwise(F.least(F.lit(CUT - 1e-9), 1 / (1 + F.exp(-F.greatest(z, F.lit(-700.0))))))
-    return scored.select("doc_id", "raw", score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return scored.select("doc_id", "raw", score.alias("score"), *rest).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """The documents with predicted 1, with the input's columns."""
-    bad = rank(docs, labels, folds, held).filter("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    """The documents with predicted 1, with the input's columns; each row is judged by its own text, whatever its doc_id."""
+    return rank(docs, labels, folds, held, carry=True).filter("predicted <> 0").select("row.*")

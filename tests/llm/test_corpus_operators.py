@@ -168,6 +168,26 @@ def test_removed_spans():
     assert decontam.remove_spans(None, [0, 1]) is None
 
 
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 100}])
+def test_decontamination_by_row(spark, limits):
+    bench = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(3)], "item_id long, text string")
+    bad, clean = " ".join(f"q1x{j}" for j in range(20)), " ".join(f"w{i}" for i in range(30))
+    docs = docs_of(spark, [(None, bad), (None, clean), (7, bad), (7, clean + " more"), (8, None)])
+    got = decontam.drop_contaminated(docs, bench, **limits)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, got.collect())) == sorted(repr(r) for r in docs.collect() if r.text != bad)
+
+
+def test_quality_by_row(spark):
+    good, bad = "plain sentences about rivers and towns with many different words in them", "!!! ### !!! ### !!! ### !!! ### !!! ###"
+    texts = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}") for i in range(40)] + [(None, good), (None, bad), (99, good), (99, bad)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = quality_ranker.keep_good(docs, labels)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, got.collect())) == sorted(repr(r) for r in docs.collect() if r.text.startswith(good))
+
+
 def test_token_counts_are_the_librarys(spark, edge_texts):
     import public_tokenizers as files
     import sentencepiece
