@@ -238,6 +238,23 @@ def remove_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _cut(names: list[str]):
+    at = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            spans, cols = batch.column("spans").to_pylist(), batch.column("row").flatten()
+            if any(spans):
+                cols[at] = pa.array(map(remove_spans, cols[at].to_pylist(), spans), cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents whose hits stay under the coverage limit, with the input's columns; each row is judged by its own text, whatever its doc_id."""
-    return scan_documents(docs, benchmark, block_bytes=block_bytes, carry=True).filter(~F.col("contaminated")).select("row.*")
+    """The documents whose hits stay under the coverage limit, without the words of their hit spans, with the input's columns.
+
+    Each row is judged by its own text, whatever its doc_id.
+    """
+    found = scan_documents(docs, benchmark, block_bytes=block_bytes, carry=True).filter(~F.col("contaminated")).select("spans", "row")
+    return found.mapInArrow(_cut(docs.columns), docs.schema)

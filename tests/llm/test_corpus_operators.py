@@ -178,6 +178,14 @@ def test_decontamination_by_row(spark, limits):
     assert sorted(map(repr, got.collect())) == sorted(repr(r) for r in docs.collect() if r.text != bad)
 
 
+def test_spans_are_cut_from_long_documents(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"q{j}" for j in range(50)))], "item_id long, text string")
+    head, tail, passage = " ".join(f"é{i}" for i in range(900)), " ".join(f"w{i}" for i in range(1000)), " ".join(f"q{j}" for j in range(20, 40))
+    docs = docs_of(spark, [(1, f"{head}. {passage} {tail}"), (2, head)])
+    got = {r.doc_id: r.text for r in decontam.drop_contaminated(docs, bench).collect()}
+    assert got == {1: f"{head}.  {tail}", 2: head}
+
+
 def test_quality_by_row(spark):
     good, bad = "plain sentences about rivers and towns with many different words in them", "!!! ### !!! ### !!! ### !!! ### !!! ###"
     texts = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}") for i in range(40)] + [(None, good), (None, bad), (99, good), (99, bad)]
