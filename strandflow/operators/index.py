@@ -18,8 +18,9 @@ _CODE = np.full(256, 4, dtype=np.uint8)
 _CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
 
 
-def suffix_table(seqs: DataFrame, by: str = "doc_id", longest: int = 1 << 20) -> DataFrame:
-    """(by, pos, rank) of every suffix: rank by one base, then by pairs of ranks at doubling distance."""
+def suffix_table(seqs: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, pos, rank) of every suffix: rank by one base, then by pairs of ranks at doubling distance up to the longest sequence, so that no two tie."""
+    longest = seqs.agg(F.max(F.char_length("seq"))).first()[0] or 0
     base = seqs.select(by, F.posexplode(F.split("seq", "")).alias("pos", "base")).filter("base <> ''")
     order = Window.partitionBy(by)
     df = base.select(by, "pos", F.dense_rank().over(order.orderBy("base")).alias("rank"))

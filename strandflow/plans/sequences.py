@@ -80,7 +80,7 @@ def masked_internally(spark, sf):
 
 @query(f"WITH {ITEMS}, s AS (SELECT item_id, unnest(range(0, length(seq))) AS pos, seq FROM items) SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY substr(seq, pos + 1)) - 1 AS rank FROM s")
 def suffix_array(spark, sf):
-    df = I.suffix_table(A.items(spark, sf), by="item_id", longest=1024)
+    df = I.suffix_table(A.items(spark, sf), by="item_id")
     return df.select("item_id", F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -88,7 +88,7 @@ def suffix_array(spark, sf):
 SELECT item_id, kmer, min(rank) AS lo, max(rank) AS hi FROM r WHERE length(kmer) = 3 GROUP BY item_id, kmer""")
 def kmer_ranges(spark, sf):
     items = A.items(spark, sf)
-    return I.kmer_ranges(I.suffix_table(items, by="item_id", longest=1024), items, 3, by="item_id")
+    return I.kmer_ranges(I.suffix_table(items, by="item_id"), items, 3, by="item_id")
 
 
 _REPEATS = "SELECT item_id, i AS pos, {n} AS len, count(*) OVER (PARTITION BY item_id, substr(seq, i + 1, {n})) AS copies FROM (SELECT item_id, unnest(range(0, greatest(length(seq) - {n} + 1, 0))) AS i, seq FROM items)"

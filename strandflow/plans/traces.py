@@ -104,7 +104,7 @@ _BOTH = f"{ITEMS}, b AS (SELECT item_id, length(seq) AS n, seq || reverse(transl
 def _both(spark, sf):
     """(strands, their suffix table, their sizes) of the items."""
     b = A.items(spark, sf).select("item_id", F.concat("seq", K.reverse_complement(F.col("seq"))).alias("seq"))
-    return b, I.suffix_table(b, by="item_id", longest=2048), b.select("item_id", F.char_length("seq").cast("long").alias("size"))
+    return b, I.suffix_table(b, by="item_id"), b.select("item_id", F.char_length("seq").cast("long").alias("size"))
 
 
 @query(f"WITH {_BOTH}, w AS (SELECT item_id, seq, unnest(range(0, greatest(length(seq) - 3, 0))) AS pos FROM b) SELECT item_id, substr(seq, pos + 1, 4) AS seed, CAST(length(seq) - pos - 4 AS BIGINT) AS st FROM w")

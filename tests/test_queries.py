@@ -42,6 +42,17 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["suffix_array", "kmer_ranges", "seed_starts", "span_ranks"])
+def test_long_repeats_are_ranked(spark, tmp_path, name):
+    path = str(tmp_path / "benchmark.parquet")
+    spark.createDataFrame([(1, "A" * 2500 + "C"), (2, "ACGT"), (3, ""), (4, "AC" * 1100)], "item_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == sorted(want.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
