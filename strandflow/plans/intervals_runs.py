@@ -221,5 +221,5 @@ def warped_signals(spark, sf):
     from strandflow.operators.dtw import EVENT_COLUMNS, align
 
     r = A.reads(spark, sf)
-    other = r.select((F.col("read_id") - 1).alias("o"), F.slice("signal", 1, 24).alias("levels"))
+    other = r.select((F.col("read_id") - 1).alias("o"), F.col("signal").alias("levels"))
     return align(r.join(other, F.col("read_id") == F.col("o")).select(F.col("read_id").alias("id"), "signal", "levels"), EVENT_COLUMNS)

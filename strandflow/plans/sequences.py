@@ -41,6 +41,16 @@ def kmer_functions(spark, sf):
     return df.select("doc_id", "code", K.decode(c, 5).alias("decoded"), K.comp(c, 5).alias("comp"), K.revcomp(c, 5).alias("revcomp"), rc.alias("revcomp_str"), K.head(c, 5).alias("head"), K.base_at(c, 2, 5).alias("third"), K.neighbor(c, 2, 5).alias("next_g"), F.lit(K.kmer_count(5)).cast("long").alias("n_kmers"))
 
 
+@query(f"""WITH {SEQUENCES}, {windows(5)}, r AS (SELECT doc_id, i, kmer AS s, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM km)
+SELECT doc_id, i, {code('s', 5)} AS code, s AS decoded, {code("translate(s, 'ACGT', 'TGCA')", 5)} AS comp, {code('rc', 5)} AS revcomp, rc AS revcomp_str, CAST(strpos('ACGT', substr(s, 1, 1)) - 1 AS BIGINT) AS head,
+  CAST(strpos('ACGT', substr(s, 3, 1)) - 1 AS BIGINT) AS third, {code("substr(s, 2, 4) || 'G'", 5)} AS next_g, CAST(1024 AS BIGINT) AS n_kmers FROM r""")
+def kmer_functions_all(spark, sf):
+    """The k-mer functions of every 5-mer of each text (``kmer_functions`` takes the first one only)."""
+    df = A.sequences(spark, sf).select("doc_id", F.posexplode(K.kmers(F.col("seq"), 5)).alias("i", "s")).withColumn("code", K.encode(F.col("s")))
+    c = F.col("code")
+    return df.select("doc_id", F.col("i").cast("long").alias("i"), "code", K.decode(c, 5).alias("decoded"), K.comp(c, 5).alias("comp"), K.revcomp(c, 5).alias("revcomp"), K.reverse_complement(F.col("s")).alias("revcomp_str"), K.head(c, 5).alias("head"), K.base_at(c, 2, 5).alias("third"), K.neighbor(c, 2, 5).alias("next_g"), F.lit(K.kmer_count(5)).cast("long").alias("n_kmers"))
+
+
 @query(f"WITH {ITEMS}, w AS (SELECT item_id, unnest(range(0, greatest(length(seq) - 4, 0))) AS i, seq FROM items) SELECT item_id, i, {code('substr(seq, i + 1, 5)', 5)} AS kmer FROM w")
 def sequence_kmers(spark, sf):
     df = A.items(spark, sf).select("item_id", F.posexplode(K.kmers(F.col("seq"), 5)).alias("i", "k"))

@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from strandflow.plans import registry
@@ -53,6 +54,18 @@ def test_long_repeats_are_ranked(spark, tmp_path, name):
     assert sorted(QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == sorted(want.fetchall())
 
 
+def test_whole_signals_are_warped(spark):
+    from strandflow.operators.dtw import EVENT_COLUMNS, warp
+    from strandflow.plans import adapters
+
+    signal = {r.read_id: np.array(r.signal) for r in adapters.reads(spark, SF).collect()}
+    got = {r.id: r for r in QUERIES["warped_signals"](spark, SF).collect()}
+    assert set(got) == {i for i in signal if i + 1 in signal}
+    for i in sorted(got)[:20]:
+        score, path = warp(np.abs(signal[i + 1][:, None] - signal[i][None, :]), EVENT_COLUMNS)
+        assert (got[i].score, got[i].path_length) == (pytest.approx(score), len(path))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
