@@ -1,7 +1,9 @@
-"""Signal operators over long tables (read, i, x): everything here is a window or a grouped aggregate."""
+"""Signal operators over long tables (read, i, x): windows and grouped aggregates, and an Arrow UDF over a small model."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,30 @@ def match_prob(x: Column, mean: Column, stdv: Column) -> Column:
     return -(F.pow(x - mean, F.lit(2)) / (2 * stdv * stdv)) - F.log(F.sqrt(2 * F.pi() * stdv * stdv))
 
 
+def near_likeliest(df: DataFrame, model: DataFrame, within: float = 2e-4) -> DataFrame:
+    """(read_id, i, x, near) of events (read_id, i, x): the model's rows whose log density is at most ``within`` under the event's highest.
+
+    The model is small (4^k rows) and is held whole in each worker; no row is made per event and k-mer.
+    """
+    rows = model.select("kmer", "level_mean", "level_stdv").collect()
+    kmer, mean, stdv = (np.array(c) for c in zip(*rows, strict=True))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                x = part.column("x").to_numpy(zero_copy_only=False)[:, None]
+                p = -((x - mean) ** 2 / (2 * stdv * stdv)) - np.log(np.sqrt(2 * np.pi * stdv * stdv))
+                near = p >= p.max(axis=1, keepdims=True) - within
+                which = np.nonzero(near)[1]
+                found = pa.StructArray.from_arrays([pa.array(c[which]) for c in (kmer, mean, stdv)], names=["kmer", "level_mean", "level_stdv"])
+                ends = np.concatenate(([0], near.sum(axis=1).cumsum())).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), found)], names=["read_id", "i", "x", "near"])
+
+    kinds = "read_id long, i long, x double, near array<struct<kmer: long, level_mean: double, level_stdv: double>>"
+    return df.selectExpr("cast(read_id as bigint) read_id", "cast(i as bigint) i", "cast(x as double) x").mapInArrow(run, kinds)
+
+
 def materialise_events(df: DataFrame, bounds: DataFrame, read: str = "read_id") -> DataFrame:
     """Events (read, evt, start, length, mean, stdv) of samples and segment starts (read, start): the last open segment is left out."""
     order = Window.partitionBy(read).orderBy("i")

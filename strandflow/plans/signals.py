@@ -70,6 +70,14 @@ def event_kmer_prob(spark, sf):
     return df.groupBy("read_id", "i").agg(F.max_by("kmer", F.struct(F.col("p"), -F.col("kmer"))).alias("kmer"), F.max("p").alias("p"))
 
 
+@query(A.ORACLES["event_kmer_prob"].replace(" WHERE i < 8", ""))
+def event_kmer_prob_all(spark, sf):
+    """The likeliest k-mer of every event (``event_kmer_prob`` takes the first eight of each read only)."""
+    near = S.near_likeliest(A.signal_long(spark, sf), M.rule_model(spark))
+    p = F.transform("near", lambda m: F.struct(F.round(S.match_prob(F.col("x"), m["level_mean"], m["level_stdv"]), 4).alias("p"), (-m["kmer"]).alias("back")))
+    return near.select("read_id", "i", F.array_max(p).alias("b")).select("read_id", "i", (-F.col("b.back")).alias("kmer"), "b.p")
+
+
 @query(f"WITH {MODEL} SELECT round(avg(level_mean), 4) AS mean, round(stddev_pop(level_mean), 4) AS stdv FROM model")
 def model_stats(spark, sf):
     return M.model_stats(M.rule_model(spark)).select(F.round("mean", 4).alias("mean"), F.round("stdv", 4).alias("stdv"))
