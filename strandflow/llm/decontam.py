@@ -5,11 +5,19 @@ the longest matching length is tracked at each word; wherever it reaches a windo
 item), the words of the window are hit. Only runs of words that occur in some item are streamed, as any other
 word resets the automaton.
 
-The benchmark is taken in blocks of at most ``block_bytes`` bytes of text, so the automaton that each worker
-holds is bounded (about 260 MB for 2 MB of text); several blocks' spans are merged per document.
-
-Edge cases: null, empty and word-less texts have no words and no hits; an empty item is ignored; an empty
-benchmark hits nothing; rows that share a doc_id are told apart by a row number; other columns are ignored.
+The benchmark is taken in blocks of at most ``block_bytes`` bytes of text (a longer item is cut into pieces that
+overlap by a window less a word), so the one automaton that a worker holds at a time is bounded (about 260 MB for 2 MB
+of text). Documents are read once: a task holds up to HELD_BYTES of them, passes them through each block's automaton in
+turn and goes on. With one block, the usual case, the automaton is made once a worker and nothing is held. The
+benchmark's text itself is broadcast; its size is checked against MOST_BYTES first.
+
+``drop_contaminated`` removes what the automaton found: documents over the coverage limit go, and hit spans are cut
+out of those that stay (a passage that only comes together by a cut is not looked for again).
+
+Edge cases: null, empty and word-less texts have no words and no hits; an empty item is ignored; an empty benchmark
+hits nothing; items that share an item_id count as one, and those with a null item_id as one with an empty name; rows
+are judged one by one, so repeated rows, shared and null doc_ids change nothing; very long texts are streamed word by
+word; an empty table gives an empty result; other columns are ignored, whatever their names. There are no ties.
 """
 
 from __future__ import annotations
@@ -25,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from strandflow.llm.common import bound_batches
+from strandflow.llm.common import bound_batches, plain, unpacked
 
 WINDOW = 13
 BLOCK_BYTES = 2_000_000
+#: Bytes of documents that a task holds while it changes automata, and bytes of benchmark text that may be broadcast.
+HELD_BYTES, MOST_BYTES = 64 << 20, 256 << 20
 
 _WORD = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))
 #: A-Z to lower case, all bytes that are in no word to a space.
@@ -42,7 +52,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over word numbers (1, 2, ...; 0 is any other word)."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -145,79 +155,97 @@ class Automaton:
         return spans, items
 
 
-_BUILT: dict[str, Automaton] = {}
+def cut_into_blocks(items: list[tuple[int | None, bytes | None]], block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> list[list[tuple[int | None, bytes]]]:
+    """Items in blocks of at most ``block_bytes``; pieces of a longer item overlap, so that each window is in one of them."""
+    blocks, room = [[]], block_bytes
+    for item, text in items:
+        words = words_of(text)
+        while words:
+            size = n = 0
+            while n < len(words) and (n <= window or size + len(words[n]) < block_bytes):
+                size += len(words[n]) + 1
+                n += 1
+            if size > room and blocks[-1]:
+                blocks.append([])
+                room = block_bytes
+            blocks[-1].append((item, b" ".join(words[:n])))
+            room -= size
+            words = words[n - window + 1 :] if n < len(words) else []
+    return blocks
 
 
-def _scanner(shipped, name: str, window: int, rest: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = Automaton(shipped.value, window)
-        machine = _BUILT[name]
-        for batch in batches:
-            n, spans, items = [], [], []
-            for t in batch.column("text"):
-                words = words_of(t.as_py())
-                found, which = machine.scan(words)
-                n.append(len(words))
-                spans.append([x for s in found for x in s])
-                items.append(sorted(which))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())), *map(batch.column, rest)], names=["doc_id", "rid", "n_words", "spans", "items", *rest])
+_BUILT: dict[str, tuple[int, Automaton]] = {}
 
-    return run
 
+def _automaton(name: str, blocks, i: int, window: int) -> Automaton:
+    if name not in _BUILT or _BUILT[name][0] != i:
+        _BUILT.clear()
+        _BUILT[name] = (i, Automaton(blocks[i], window))
+    return _BUILT[name][1]
 
-def _summary(rest: list[str]):
-    def run(batches):
-        for batch in batches:
-            spans, hits, n_items, digests = [], [], [], []
-            for s, it in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for a, b in sorted(zip(s[::2], s[1::2], strict=True)):
-                    if merged and merged[-1][1] >= a:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                names = sorted(map(str, set(it)))
-                spans.append([x for m in merged for x in m])
-                hits.append(sum(b - a for a, b in merged))
-                n_items.append(len(names))
-                digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("n_words"), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), *map(batch.column, rest)], names=["doc_id", "rid", "n_words", "spans", "n_hit", "n_items", "items_sha256", *rest])
 
-    return run
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-def _typed(rest: list[str], docs: DataFrame, **kinds) -> StructType:
-    return StructType([*[StructField(n, t) for n, t in kinds.items()], *[StructField(c, docs.schema) for c in rest]])
+def _scanner(shipped, name: str, window: int, rest: list[str]):
+    def scan(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = shipped.value
+        n = [[0] * len(batch) for batch in held]
+        found: list[list[list]] = [[[] for _ in range(len(batch))] for batch in held]
+        which: list[list[set]] = [[set() for _ in range(len(batch))] for batch in held]
+        for b in range(len(blocks)):
+            machine = _automaton(name, blocks, b, window)
+            for k, batch in enumerate(held):
+                for i, t in enumerate(batch.column("text")):
+                    words = words_of(t.as_py())
+                    n[k][i] = len(words)
+                    spans, items = machine.scan(words)
+                    found[k][i] += spans
+                    which[k][i] |= items
+        for k, batch in enumerate(held):
+            spans = [_merged(s) for s in found[k]]
+            names = [sorted({"" if x is None else str(x) for x in w}) for w in which[k]]
+            hits = [sum(b - a for a, b in s) for s in spans]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+            flat = pa.array([[x for s in y for x in s] for y in spans], pa.list_(pa.int64()))
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), long(n[k]), flat, long(hits), long([len(x) for x in names]), pa.array(digests, pa.string()), *map(batch.column, rest)], names=["doc_id", "n_words", "spans", "n_hit", "n_items", "items_sha256", *rest])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, HELD_BYTES if len(shipped.value) > 1 else 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > most:
+                yield from scan(held)
+                held, size = [], 0
+        if held:
+            yield from scan(held)
+
+    return run
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, spans (flat word ranges [start, end)), n_hit, n_items, items_sha256, contaminated; with ``carry`` the input's columns as ``row``."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rest, long, longs = ["row"] if carry else [], LongType(), ArrayType(LongType())
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    many = blocks > 1
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(c) for c in rest]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if many else F.lit(0)).cast("long").alias("rid"), F.col("text").cast("binary").alias("text"), *whole)
-    parts = []
-    for b in range(blocks):
-        part = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if many else bench
-        shipped = spark.sparkContext.broadcast([(r[0], bytes(r[1] or b"")) for r in part.collect()])
-        # the first block's rows bring the input's columns
-        kept = rest if b == 0 else []
-        parts.append(texts.drop(*[c for c in rest if c not in kept]).mapInArrow(_scanner(shipped, uuid.uuid4().hex, window, kept), _typed(kept, docs, doc_id=long, rid=long, n_words=long, spans=longs, items=longs)))
-    found = parts[0]
-    if many:
-        for p in parts[1:]:
-            found = found.unionByName(p, allowMissingColumns=True)
-        found = found.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), *[F.first(c, ignorenulls=True).alias(c) for c in rest]).select("doc_id", "rid", "n_words", "spans", "items", *rest)
-    out = found.mapInArrow(_summary(rest), _typed(rest, docs, doc_id=long, rid=long, n_words=long, spans=longs, n_hit=long, n_items=long, items_sha256=StringType()))
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("rid")
-    return out.select(*[c for c in out.columns if c not in rest], *rest)
+    bench = plain(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    if (size := bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes is too large to broadcast ({MOST_BYTES}): scan it in parts")
+    shipped = spark.sparkContext.broadcast(cut_into_blocks([(r[0], bytes(r[1] or b"")) for r in bench.collect()], block_bytes, window))
+    rest = ["row"] if carry else []
+    texts = plain(docs, "doc_id", "text", carry=carry).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *rest)
+    long, longs = LongType(), ArrayType(LongType())
+    kinds = {"doc_id": long, "n_words": long, "spans": longs, "n_hit": long, "n_items": long, "items_sha256": StringType()} | {c: texts.schema[c].dataType for c in rest}
+    out = texts.mapInArrow(_scanner(shipped, uuid.uuid4().hex, window, rest), StructType([StructField(n, t) for n, t in kinds.items()]))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(*[c for c in kinds if c not in rest], "contaminated", *rest)
 
 
 def remove_spans(text: str | None, spans: list[int]) -> str | None:
@@ -238,15 +266,13 @@ def remove_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _cut(names: list[str]):
-    at = names.index("text")
-
+def _cut(place: int, names: list[str]):
     def run(batches):
         for batch in batches:
             spans, cols = batch.column("spans").to_pylist(), batch.column("row").flatten()
             if any(spans):
-                cols[at] = pa.array(map(remove_spans, cols[at].to_pylist(), spans), cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols[place] = pa.array(map(remove_spans, cols[place].to_pylist(), spans), cols[place].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(cols, names=names)], names=["row"])
 
     return run
 
@@ -257,4 +283,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     Each row is judged by its own text, whatever its doc_id.
     """
     found = scan_documents(docs, benchmark, block_bytes=block_bytes, carry=True).filter(~F.col("contaminated")).select("spans", "row")
-    return found.mapInArrow(_cut(docs.columns), docs.schema)
+    fields = found.schema["row"].dataType.names
+    place = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
+    return unpacked(found.mapInArrow(_cut(place, fields), found.select("row").schema), docs)

@@ -12,7 +12,8 @@ character tables might differ), go to tokenizers itself.
 Tokens are written once to the shared folder; only (row, key, length) is range-sorted. Global places are per-partition running sums plus the partitions' totals, of which there are as many as partitions.
 
 Edge cases: a null or empty text is its end token alone; documents with equal vectors are ordered by doc_id and
-row; repeated rows are packed as often as they occur; an empty table gives no pieces; other columns are ignored.
+row; repeated rows are packed as often as they occur, rows with a null doc_id under that null; a very long text is cut
+into as many sequences as it needs; an empty table gives no pieces; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import bound_batches, stored
+from strandflow.llm.common import bound_batches, plain, stored
 
 SEQUENCE, END, DIMS, BITS = 2048, 1, 4, 12
 TOKENIZER = "byte_bpe_50k"
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER) -> D
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = stored(texts.mapInArrow(_tokenize(tokenizer), "rid long, doc_id long, key long, n long, ids binary"), "tokens")
     order = tokens.select("key", "doc_id", "rid", "n").repartitionByRange("key", "doc_id", "rid").sortWithinPartitions("key", "doc_id", "rid")
     placed = stored(order.select("rid", "n").mapInArrow(_running, "part int, rid long, place long, n long"), "places")

@@ -1,12 +1,13 @@
 """Quality rules as a bitmask ledger (DataFrame functions only).
 
 Every rule runs once per document; its measurements and one bit per failed rule are kept in a ledger.
-Versioned policies are masks over these bits, and ablations are bitwise aggregates of the ledger, so
-neither reads a text again.
+``store`` writes the ledger without the texts to the shared folder. Versioned policies are masks over its bits and
+ablations are bitwise aggregates, so on a stored ledger neither reads a text again.
 
 Edge cases: a null text counts as empty (no words, fails ``too_few_words``); rows are judged on their
-own, so repeated rows repeat in the result; an empty table gives an empty ledger; other columns of the
-input are kept inside ``row`` untouched, whatever their names.
+own, so repeated rows and null doc_ids change nothing, and there are no ties; a very long text is measured whole (its
+arrays live in one row's memory); an empty table gives an empty ledger; other columns of the input are kept inside
+``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm.common import plain, stored, unpacked
+
 #: White space between words, as characters and as a pattern class.
 SPACE, SPACE_CLASS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -40,11 +43,11 @@ POLICIES = {
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim"]
 
 
-def _measured(docs: DataFrame, text: str) -> DataFrame:
+def _measured(docs: DataFrame) -> DataFrame:
     """row (all input columns), and the measurements. Each step names what later lambdas use more than once."""
     strip = lambda c: F.btrim(c, F.lit(SPACE))
     without = lambda c, chars: F.char_length(c) - F.char_length(F.translate(c, chars, ""))
-    df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    df = plain(docs, "text", carry=True).select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     df = df.select(
         "row",
         "t",
@@ -74,15 +77,21 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     return df.select(*keep, F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_repeat_words"))
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``row`` (struct of the input's columns), the measurements, and ``rule_bits`` with a bit per failed rule."""
+def ledger(docs: DataFrame) -> DataFrame:
+    """``row`` (struct of the input's columns, by place: c0, c1, ...), the measurements, and ``rule_bits`` with a bit per failed rule."""
     bits = reduce(
         lambda a, b: a.bitwiseOR(b),
         [F.when(F.expr(cond), F.lit(BIT[name])).otherwise(F.lit(0)) for name, cond in RULES],
     )
     # a filter on the ledger must not be pushed below: that would put the arrays' own expressions into their lambdas
     fence = F.when(F.monotonically_increasing_id() >= 0, bits.cast("long"))
-    return _measured(docs, text).select("row", *MEASURES, fence.alias("rule_bits"))
+    return _measured(docs).select("row", *MEASURES, fence.alias("rule_bits"))
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """The ledger as a written table: doc_id, the measurements and ``rule_bits``. Every policy and ablation reads this."""
+    only = plain(docs, "doc_id", "text")
+    return stored(ledger(only).select(F.col("row.c0").alias("doc_id"), *MEASURES, "rule_bits"), "ledger")
 
 
 def passes(policy: str = "v1") -> Column:
@@ -107,4 +116,4 @@ def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The documents that pass the policy, with the input's columns."""
-    return ledger(docs).filter(passes(policy)).select("row.*")
+    return unpacked(ledger(docs).filter(passes(policy)), docs)

@@ -12,14 +12,19 @@ from strandflow.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    book = quality_rules.store(table(spark, sf_dir, "documents"))
     base = ~quality_rules.passes("base")
     return book.select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & quality_rules.passes("v1")).alias("kept"), "rule_bits",
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's ablation: what each rule of policy v1 rejects, and what it alone rejects."""
+    return quality_rules.ablation(quality_rules.store(table(spark, sf_dir, "documents")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1)
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_quality_rules, op2_toxicity, op3_url_filter, op4_token_counts, op5_decontamination, op6_warc_archive, op7_minhash_near_dup, op8_license_scan, op9_packing, op10_quality_ranking, pipeline]
+    ops = [op1_quality_rules, rule_ablation, op2_toxicity, op3_url_filter, op4_token_counts, op5_decontamination, op6_warc_archive, op7_minhash_near_dup, op8_license_scan, op9_packing, op10_quality_ranking, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -89,6 +94,8 @@ b AS (SELECT *, CAST({_BITS} AS BIGINT) AS rule_bits FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (rule_bits & 3) <> 0 AS base_failed, rule_bits = 0 AS kept, rule_bits FROM b
 """
 
+_ABLATION = f"WITH book AS ({_OP1}), rules(rule, bit) AS (VALUES {', '.join(f"('{n}', {b})" for n, b in quality_rules.BIT.items())}) SELECT rule, CAST(count_if(rule_bits & bit <> 0) AS BIGINT) AS failed, CAST(count_if(rule_bits = bit) AS BIGINT) AS only_this FROM rules, (SELECT rule_bits FROM book) GROUP BY rule"
+
 _OP5 = r"""
 WITH low(kind, id, t) AS (
   SELECT 0, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM documents
@@ -144,4 +151,4 @@ SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, sentence_ids, {_LIST(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op5_decontamination": _OP5, "op6_warc_archive": _OP6, "op7_minhash_near_dup": _OP7, "op8_license_scan": _OP8}
+    return {"op1_quality_rules": _OP1, "rule_ablation": _ABLATION, "op5_decontamination": _OP5, "op6_warc_archive": _OP6, "op7_minhash_near_dup": _OP7, "op8_license_scan": _OP8}

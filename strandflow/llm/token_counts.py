@@ -1,6 +1,6 @@
 """Token counts with a whole-token shortcut for a SentencePiece BPE vocabulary.
 
-Proved offline, from the vocabulary alone (``Prover``):
+Proved from the vocabulary alone, before any text is read (``Prover``; each worker does it once, from the model file):
 
 * No piece has the word mark after another character, so no merge crosses the start of a word: a text's count
   is the sum over its pre-tokens (a run of marks and what follows up to the next mark).
@@ -10,7 +10,9 @@ Pre-tokens in that table are counted directly. Those of a text that are not are
 marks, and merged by the library's own encoder in one call a text.
 
 Edge cases: null and empty texts have no tokens and 0 bytes; strings of control pieces inside a text are plain
-text, as the library has it; repeated rows repeat; an empty table gives an empty result; other columns are ignored.
+text, as the library has it; rows are counted one by one, so repeated rows and null doc_ids change nothing, and there
+are no ties; very long texts are encoded whole; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import bound_batches
+from strandflow.llm.common import bound_batches, plain
 
 MODEL, LIMIT = "piece_bpe_32k", 4096
 MARK = "▁"
@@ -87,5 +89,5 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
     """Per row: doc_id, n_bytes, n_tokens, over_limit."""
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return rows.mapInArrow(_count(model), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -50,7 +50,7 @@ def brute_rules(text):
 def test_rules_against_brute_force(spark, edge, edge_texts):
     rng = random.Random(4)
     texts = edge_texts + [(100 + i, " ".join(rng.choice(["a", "b", "c#"]) + rng.choice(["", "\n"]) for _ in range(rng.randint(0, 60)))) for i in range(40)]
-    got = quality_rules.ledger(docs_of(spark, texts)).select("row.doc_id", "row.text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    got = quality_rules.ledger(docs_of(spark, texts)).select("row.c0", F.col("row.c1").alias("text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
     assert len(got) == len(texts)
     for r in got:
         assert tuple(r)[2:] == brute_rules(r.text), r.text
@@ -59,7 +59,7 @@ def test_rules_against_brute_force(spark, edge, edge_texts):
 
 def test_rule_policies_and_ablation(spark):
     book = quality_rules.ledger(docs_of(spark, [(1, "short"), (2, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11"), (3, "# # # #")]))
-    kept = {r.doc_id for r in book.filter(quality_rules.passes()).select("row.doc_id").collect()}
+    kept = {r.doc_id for r in book.filter(quality_rules.passes()).select(F.col("row.c0").alias("doc_id")).collect()}
     assert kept == {2}
     per = {r.rule: (r.failed, r.only_this) for r in quality_rules.ablation(book).collect()}
     assert per["too_few_words"] == (2, 1) and per["symbols"] == (1, 0)
@@ -261,28 +261,57 @@ def test_warc_records_are_whole(spark, tmp_path):
     pages = spark.createDataFrame([(7, "http://h/p", "<b>é</b>")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "w"))
     record = bytes(warc.read_archive(spark, str(tmp_path / "w")).first().record)
+    assert warc.read_archive(spark, str(tmp_path / "w")).first().payload == "<b>é</b>".encode()
     head, body = record.split(b"\r\n\r\n", 1)
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"WARC-Target-URI: http://h/p" in head
     assert body == "<b>é</b>".encode() + b"\r\n\r\n" and b"Content-Length: 9" in head
 
 
+def brute_url_rule(url, rules):
+    host, path = url_filter.split_url(url)
+    fits = [r for r in rules if host.split(".")[-len(r[0].split(".")) :] == r[0].split(".") and path[: len(r[1])] == r[1]]
+    return "".join(min(fits, key=lambda r: (-len(r[0] + r[1]), r))[:2]) if fits else None
+
+
+def test_url_rules_against_brute_force(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice(["a", "b", "A", "org", "com", "x-y"])
+    rules = [("com", "/", "block"), ("a.com", "/", "allow"), ("b.a.com", "/a", "block"), ("com", "/a/b", "allow"), ("org", "/a", "block"), ("a.org", "", "allow")]
+    urls = [rng.choice(["http://", "", "ftp://x://", "http://b.", "http://b.A."]) + ".".join([*(part() for _ in range(rng.randint(0, 2))), rng.choice(["com", "org", "x"])]) + "".join(rng.choice("//?#") + part() for _ in range(rng.randint(0, 4))) for _ in range(3000)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filter.judge(pages, rules=rules).collect()
+    verdicts = {h + p: v for h, p, v in rules}
+    w = url_filter.train(url_filter.labelled_urls())
+    assert len({r.rule for r in got}) == len(rules) + 1
+    for r in got:
+        host, path = url_filter.split_url(urls[r.page_id])
+        g = sorted(url_filter.grams(host, path))
+        assert (r.host, r.path, r.rule) == (host, path, brute_url_rule(urls[r.page_id], rules))
+        assert r.model_score == pytest.approx(1 / (1 + np.exp(-(w[g].sum() / np.sqrt(max(1, len(g))) + w[-1]))))
+        assert r.verdict == (verdicts[r.rule] if r.rule else "block" if r.model_score >= 0.5 else "allow")
+
+
 def test_url_rules_and_model(spark):
-    urls = [None, "no scheme", "http://EXAMPLE.org/es/1", "https://a.example.org/en/12?x", "http://x.org", "http://x.org/", "http://y.com/de/", "http://y.com/fr/#f", "http://m.casino-win.example.net/en/1", "http://blog.station.example.net/en/1", "ftp://netorg/"]
+    urls = [None, "no scheme", "http://EXAMPLE.org/es/1", "https://a.example.org/en/12?x", "http://x.org", "http://x.org/", "http://y.com/de/", "http://y.com/fr/#f", "http://m.poker-night.example.net/en/1", "http://blog.station.example.net/en/1", "ftp://netorg/"]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
     got = {r.page_id: r for r in url_filter.judge(pages).collect()}
     for i, u in enumerate(urls):
         assert (got[i].host, got[i].path) == url_filter.split_url(u)
+        assert got[i].rule == brute_url_rule(u, url_filter.RULES)
     assert [got[i].rule for i in range(11)] == [None, None, "example.org/es/", "example.org/en/1", None, "org/", "com/de/", "com/fr/", None, None, None]
     assert [got[i].verdict for i in (0, 1, 2, 3, 5, 6, 7, 8, 9)] == ["allow", "allow", "block", "block", "allow", "block", "allow", "block", "allow"]
 
 
 def test_url_model_on_held_out_urls():
-    """Known names on hosts and paths that were held out."""
+    """Known words with partners, hosts and paths that were held out; then hosts that share no name with the table, and paths alone."""
     rows = url_filter.labelled_urls()
+    score = lambda w, u: w[sorted(g := url_filter.grams(*url_filter.split_url(u)))].sum() / np.sqrt(max(1, len(g))) + w[-1]
     w = url_filter.train([r for i, r in enumerate(rows) if i % 5])
-    score = lambda u: w[list(g := url_filter.grams(*url_filter.split_url(u)))].sum() / np.sqrt(max(1, len(g))) + w[-1]
     held = [r for i, r in enumerate(rows) if i % 5 == 0]
-    assert sum((score(u) > 0) == bool(y) for u, y in held) / len(held) > 0.95
+    assert sum((score(w, u) > 0) == bool(y) for u, y in held) / len(held) > 0.95
+    w = url_filter.train(rows)
+    assert score(w, "https://qqq.zz/bonus/claim") > score(w, "https://qqq.zz/articles/2021/05/review")
+    assert all(score(w, u) > 0 for u in ("http://a.megacasino.zz/x/1", "https://adserver7.zz/", "http://pokerspot.zz/en/3")) and all(score(w, u) < 0 for u in ("http://a.gardeners.zz/x/1", "https://kqz.zz/en/3", "http://historybook.zz/"))
 
 
 def test_licences(spark):
@@ -426,3 +455,140 @@ def test_against_sql(spark, name):
 
 def test_rows_are_hashable(edge):
     assert isinstance(edge.select(F.lit(1)).first(), Row)
+
+
+def test_warc_revisits_and_identifiers(spark, tmp_path):
+    rows = [(1, "u\x00\x1f\x7f\té", "same"), (2, "v", "same"), (2, "v", "same"), (9, "w", "other"), (9, "w", "third"), (None, None, "same")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.read_archive(spark, str(tmp_path / "w")).collect()
+    heads = [dict(line.split(": ", 1) for line in bytes(r.record).split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for r in got]
+    names = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(names)) == len(rows)
+    for r, h in zip(got, heads, strict=True):
+        body = bytes(r.record).split(b"\r\n\r\n", 1)[1]
+        assert body == (b"" if r.record_type == "revisit" else bytes(r.payload)) + b"\r\n\r\n"
+        assert int(h["Content-Length"]) == len(body) - 4
+        assert (r.record_type == "revisit") == ("WARC-Profile" in h) == ("WARC-Refers-To" in h)
+        if r.record_type == "revisit":
+            assert names.index(h["WARC-Refers-To"]) >= 0 and heads[names.index(h["WARC-Refers-To"])]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    assert [h["WARC-Target-URI"] for r, h in zip(got, heads, strict=True) if r.page_id == 1] == ["u%00%1F%7F%09é"]
+    assert sorted((r.page_id, bytes(r.payload)) for r in got if r.record_type == "response" and r.page_id) == [(2, b"same"), (2, b"same"), (9, b"other"), (9, b"third")]
+
+
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
+    """Repeats add rows, not pairs: what is written for one pair of near copies is the same for 200 repeats of each."""
+    a = [f"w{i}" for i in range(60)]
+    b = [*a[:59], "x"]
+    written = []
+
+    def counted(df, label, under=None):
+        out = keep(df, label, under)
+        written.append((label, out.count()))
+        return out
+
+    keep = near_dup.stored
+    monkeypatch.setattr(near_dup, "stored", counted)
+    sizes = {}
+    for n in (1, 200):
+        written.clear()
+        docs = docs_of(spark, [(i % 2, " ".join(b if i % 2 else a)) for i in range(2 * n)])
+        got = near_dup.near_duplicates(docs).collect()
+        assert len(got) == 2 * n and {r.component_id for r in got} == {0}
+        sizes[n] = [x for x in written if x[0] != "minhash"]
+        assert near_dup.keep_one(docs).select("doc_id").collect() == [(0,)]
+    assert sizes[1] == sizes[200]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    long = lambda p: " ".join(f"{p}{i}" for i in range(30))
+    docs = docs_of(spark, [(7, long("a")), (7, long("b")), (3, long("b")), (None, long("c")), (None, long("c")), (None, long("a")), (5, None), (5, None), (None, ""), (9, long("d"))])
+    got = sorted(((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(7, 7), (7, 3), (3, 3), (None, None), (None, None), (None, 7), (5, 5), (5, 5), (None, None), (9, 9)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in near_dup.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(7, long("a")), (3, long("b")), (None, long("c")), (5, None), (5, None), (None, ""), (9, long("d"))], key=repr)
+
+
+CLASH = ["a.b", "TEXT2", "kept_id", "bad_id", "row", "c0", "c1", "d", "digest", "rep", "gone", "many", "label", "lid", "spans", "`q`", "raw", "score", "comp", "ids", "words", "number", "host", "first_id"]
+
+
+@pytest.fixture(scope="module")
+def worst(spark, edge_texts):
+    """Rows with nulls in any column, repeats, one very long text, and columns named like everything used inside."""
+    texts = [*edge_texts, *edge_texts[-3:], (None, None), (None, " ".join(f"w{i % 9000}" for i in range(60_000))), (40, "plain sentences about rivers and towns with many different words in them")]
+    rows = [(i, t, None if n % 2 else "en", *[None if (n + j) % 3 else f"v{j}" for j in range(len(CLASH))]) for n, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", *[f"`{c.replace('`', '``')}` string" for c in CLASH]]))
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "rules", "classifier", "near duplicates", "decontamination"])
+def test_worst_rows(spark, worst, name):
+    """Every operator and stage on the worst rows and on an empty table: as many rows as it defines, and no crash."""
+    n = worst.count()
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "x") for i in range(11)] + [(None, 1, 1, None), (3, None, None, "y")], "doc_id long, quality int, toxic int, `a.b` string")
+    bench = spark.createDataFrame([(1, "double spaces and lines", "r"), (None, "double spaces and lines", None), (None, None, None), (4, "", "z")], "item_id long, text string, `spans` string")
+    pages = worst.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.concat(F.lit("http://h/"), "html"))
+    run = {
+        "op1": (lambda d: quality_rules.store(d), n), "op2": (lambda d: toxicity.score(d, labels), n), "op3": (lambda d: url_filter.judge(d.withColumn("page_id", F.col("doc_id")).withColumn("url", F.col("text"))), n),
+        "op4": (lambda d: token_counts.token_counts(d), n), "op5": (lambda d: decontam.scan_documents(d, bench), n), "op6": (lambda d: warc.round_trip(pages if d is worst else pages.limit(0)), n),
+        "op7": (lambda d: near_dup.near_duplicates(d), n), "op8": (lambda d: licenses.scan(d), n), "op9": (lambda d: packing.pack(d).select("doc_id", "doc_tokens").distinct(), None), "op10": (lambda d: quality_ranker.rank(d, labels), n),
+        "rules": (quality_rules.keep_good, None), "classifier": (lambda d: quality_ranker.keep_good(d, labels), None), "near duplicates": (near_dup.keep_one, None), "decontamination": (lambda d: decontam.drop_contaminated(d, bench), None),
+    }
+    f, rows = run[name]
+    got = f(worst)
+    kept = got.collect()
+    assert kept and rows in (None, len(kept))
+    assert f(worst.limit(0)).count() == 0
+    if not name.startswith("op"):
+        assert got.columns == worst.columns
+        before = [tuple(r) for r in worst.collect()]
+        assert all(tuple(r) in before for r in kept) or name == "decontamination"
+    if name == "op5":
+        assert {(r.n_hit, r.n_items) for r in kept if r.doc_id == 9} == {(4, 2)}
+
+
+def test_benchmark_blocks_hold_every_window():
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice(["a", "bb", "ccc", "d4"]) for _ in range(n)).encode()) for i, n in enumerate([0, 3, 13, 14, 40, 300])]
+    for size in (1, 20, 100, 10**6):
+        blocks = decontam.cut_into_blocks(items, size)
+        assert all(sum(len(t) for _, t in b) <= max(size, 14 * 4) for b in blocks)
+        windows = lambda rows: {(i, tuple(w[j : j + min(13, len(w))])) for i, t in rows if (w := decontam.words_of(t)) for j in range(max(1, len(w) - 12))}
+        assert windows([x for b in blocks for x in b]) == windows(items)
+
+
+def test_label_model_estimates_rates():
+    rng = np.random.default_rng(6)
+    y = rng.random(6000) < 0.2
+    p1, p0 = np.array([0.7, 0.5, 0.6, 0.4, 0.8, 0.3]), np.array([0.05, 0.02, 0.1, 0.01, 0.2, 0.02])
+    votes = (rng.random((6000, 6)) < np.where(y[:, None], p1, p0)).astype(float)
+    votes = np.concatenate((votes, votes[:, :1]), axis=1)  # the first voter twice
+    label = np.where(rng.random(6000) < 0.25, np.where(rng.random(6000) < 0.1, ~y, y).astype(int), -1)
+    got = toxicity.label_model(votes, label)
+    assert np.abs(got["rates"][:6, 0] - p1).max() < 0.08 and np.abs(got["rates"][:6, 1] - p0).max() < 0.04
+    assert got["rates"][-1] == pytest.approx([0.9, 0.1], abs=0.06) and abs(got["prior"] - 0.2) < 0.04
+    assert got["weight"][0] == pytest.approx(0.5, abs=0.05) and got["weight"][6] == got["weight"][0] and (got["weight"][1:6] > 0.9).all()
+    assert ((got["posterior"] > 0.5) == y).mean() > 0.95
+
+
+def test_voters_are_reported(spark):
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.voters(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert got[-1].voter == "known label" and got[-1].rate_toxic > 0.5 > got[-1].rate_clean
+    words = [r for r in got if r.voter.startswith("w:") and not r.voter.endswith("twice")]
+    assert words and sum(r.rate_toxic > r.rate_clean for r in words) >= 0.9 * len(words)
+    assert all(0 <= r.rate_clean <= 1 and 0 < r.weight <= 1 for r in got)
+
+
+def test_quantile_follows_the_corpus():
+    """The level is the corpus's own share of low documents, not the labels'."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(0, 1, (300, 2)), rng.normal(4, 1, (300, 2))))
+    model = quality_ranker.fit(x, np.repeat([0, 1], 300))
+    for share in (0.0, 0.02, 0.5, 0.9):
+        n = int(20_000 * share)
+        s = np.concatenate((rng.normal(0, 1, (n, 2)), rng.normal(4, 1, (20_000 - n, 2)))) @ model["w"] - model["c"]
+        counts, edges = np.histogram(np.clip(s, model["low"], model["high"]), quality_ranker.BINS, (model["low"], model["high"]))
+        found = quality_ranker.low_share(model, (edges[1:] + edges[:-1]) / 2, counts)
+        assert abs(found - share) < 0.01
+        cut = quality_ranker.quantile(edges, counts, found)
+        assert abs((s < cut).mean() - share) < 0.015
+    assert quality_ranker.quantile(np.arange(5.0), np.array([2, 0, 0, 2]), 0.5) == 2.0
