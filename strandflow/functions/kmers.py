@@ -74,5 +74,21 @@ def starts(seq: Column, k: int) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers in order, as strings."""
-    return F.transform(starts(seq, k), lambda i: F.substr(seq, i + F.lit(1), F.lit(k)))
+    """All k-mers in order, as strings: one pass of a look-ahead over the sequence, whatever its length."""
+    return F.coalesce(F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def base_kmers(seq: Column, k: int) -> Column:
+    """The k-mers of bases only (either case), in order."""
+    return F.coalesce(F.regexp_extract_all(seq, F.lit(f"(?=([ACGTacgt]{{{k}}}))"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def revcomp_array(kmers_: Column, k: int) -> Column:
+    """The integer k-mers of the opposite strand, in its order."""
+    return F.transform(F.reverse(kmers_), lambda x: revcomp(x, k))
+
+
+def subsequence(seq: Column, st: Column, en: Column, is_fwd: Column) -> Column:
+    """The half-open span [st, en) of a sequence, of the opposite strand if not forward."""
+    part = F.substr(seq, (st + 1).cast("int"), F.greatest(en - st, F.lit(0)).cast("int"))
+    return F.when(is_fwd, part).otherwise(reverse_complement(part))

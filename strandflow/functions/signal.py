@@ -108,10 +108,11 @@ def materialise_events(df: DataFrame, bounds: DataFrame, read: str = "read_id")
     return events.withColumn("_last", last).filter("evt < _last").drop("_last")
 
 
-def chunks(n: Column, size: int, tail: bool) -> Column:
-    """Starts of the chunks of n samples; ``tail`` keeps a short last one."""
-    count = F.ceil(n / size) if tail else F.floor(n / size)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: i * size)).otherwise(F.array().cast("array<bigint>"))
+def chunks(n: Column, size: int, tail: bool, offset: int = 0, most: int | None = None) -> Column:
+    """Starts of the chunks of n samples from ``offset`` on, the first ``most`` if given; ``tail`` keeps a short last one."""
+    count = F.ceil((n - offset) / size) if tail else F.floor((n - offset) / size)
+    count = count if most is None else F.least(count, F.lit(most).cast("long"))
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: i * size + offset)).otherwise(F.array().cast("array<bigint>"))
 
 
 def event_to_bp(evt: Column, mean_length: Column, last: Column, k: int = 5) -> Column:
@@ -122,3 +123,53 @@ def event_to_bp(evt: Column, mean_length: Column, last: Column, k: int = 5) -> C
 def seconds_to_samples(sec: Column, coefficient: float = 1.0) -> Column:
     """Rounded half to even."""
     return F.bround(sec * SAMPLES_PER_SECOND * coefficient).cast("long")
+
+
+def read_duration(signal: Column) -> Column:
+    """Samples of a read."""
+    return F.coalesce(F.size(signal), F.lit(0)).cast("long")
+
+
+def read_end(start_sample: Column, signal: Column) -> Column:
+    """The sample after a read's last."""
+    return start_sample + read_duration(signal)
+
+
+def scaled(mean: Column, scale: Column, shift: Column) -> Column:
+    """A level as the search sees it."""
+    return scale * mean + shift
+
+
+def event_probs(df: DataFrame, model: DataFrame) -> DataFrame:
+    """(read_id, i, x, probs): each event's log density under every k-mer, an array of 4^k by k-mer number. The model is held whole in each worker."""
+    rows = sorted(model.select("kmer", "level_mean", "level_stdv").collect())
+    _, mean, stdv = (np.array(c, dtype=float) for c in zip(*rows, strict=True))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                x = part.column("x").to_numpy(zero_copy_only=False)[:, None]
+                p = -((x - mean) ** 2 / (2 * stdv * stdv)) - np.log(np.sqrt(2 * np.pi * stdv * stdv))
+                ends = np.arange(0, p.size + 1, len(mean), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel()))], names=["read_id", "i", "x", "probs"])
+
+    return df.selectExpr("cast(read_id as bigint) read_id", "cast(i as bigint) i", "cast(x as double) x").mapInArrow(run, "read_id long, i long, x double, probs array<double>")
+
+
+def likeliest_kmer(df: DataFrame, model: DataFrame, digits: int = 4) -> DataFrame:
+    """(read_id, i, kmer, p): each event's likeliest k-mer by its log density rounded to ``digits``; of equal ones the smallest."""
+    near = near_likeliest(df, model, 2 * 10**-digits)
+    p = F.transform("near", lambda m: F.struct(F.round(match_prob(F.col("x"), m["level_mean"], m["level_stdv"]), digits).alias("p"), (-m["kmer"]).alias("back")))
+    return near.select("read_id", "i", F.array_max(p).alias("b")).select("read_id", "i", (-F.col("b.back")).alias("kmer"), "b.p")
+
+
+def masked_index(kept: DataFrame, read: str = "read_id") -> DataFrame:
+    """(read, i, masked_i): the place of each kept event among the kept ones."""
+    w = Window.partitionBy(read).orderBy("i")
+    return kept.filter("keep").select(read, "i", (F.row_number().over(w) - 1).cast("long").alias("masked_i"))
+
+
+def chunk_bounds(df: DataFrame, at: Column, size: int, read: str = "read_id") -> DataFrame:
+    """(read, chunk, first_evt, last_evt): the events (``i``) that begin in each chunk of ``size`` samples, by their start ``at``."""
+    return df.groupBy(read, F.floor(at / size).alias("chunk")).agg(F.min("i").alias("first_evt"), F.max("i").alias("last_evt"))

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from strandflow.functions import kmers as K
 from strandflow.operators.segment import SegmentConfig, events
 
-#: Pairs of longer inputs get a null score (memory guard).
-MAX_POINTS = 50_000
-
 
 @dataclass(frozen=True)
 class DtwConfig:
@@ -59,23 +56,64 @@ def warp(cost: np.ndarray, conf: DtwConfig = DtwConfig()) -> tuple[float, list[t
     return score, path[::-1]
 
 
-def align(pairs: DataFrame, conf: DtwConfig = DtwConfig()) -> DataFrame:
-    """pairs (id, signal, levels) by absolute difference to (id, score, mean_score, path_length)."""
+def difference(levels: np.ndarray, stdv: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    return np.abs(levels - x)
+
+
+def unlikeliness(levels: np.ndarray, stdv: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    """Minus the log density of samples under the levels' Gaussians."""
+    sd = np.ones_like(levels) if stdv is None else stdv
+    return (x - levels) ** 2 / (2 * sd * sd) + np.log(np.sqrt(2 * np.pi) * sd)
+
+
+def warp_score(levels: np.ndarray, stdv: np.ndarray | None, x: np.ndarray, cost=difference, conf: DtwConfig = DtwConfig()) -> tuple[float, int]:
+    """The score and path length that ``warp`` finds (rows are levels), holding three anti-diagonals only, so inputs may be of any length."""
+    n, m = len(levels), len(x)
+    edge = lambda free: 0.0 if conf.free == free else np.inf
+    # the diagonals before, by row: costs and lengths of the best ways
+    two, one = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    two_len, one_len = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    two[0], one[0], one[1] = 0.0, edge("col"), edge("row")
+    best, length = np.inf, 0
+    for d in range(2, n + m + 1):
+        a, b = max(1, d - m), min(n, d - 1) + 1
+        rows = slice(a, b)
+        local = cost(levels[a - 1 : b - 1], None if stdv is None else stdv[a - 1 : b - 1], x[d - b : d - a][::-1])
+        ways = np.stack((two[a - 1 : b - 1] + conf.diagonal * local, one[rows] + conf.horizontal * local, one[a - 1 : b - 1] + conf.vertical * local))
+        which = ways.argmin(axis=0)
+        new, new_len = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+        at = np.arange(b - a)
+        new[rows] = ways[which, at]
+        new_len[rows] = 1 + np.stack((two_len[a - 1 : b - 1], one_len[rows], one_len[a - 1 : b - 1]))[which, at]
+        if d <= m:
+            new[0] = edge("col")
+        if d <= n:
+            new[d] = edge("row")
+        # ends of the path: the last row, the last column or both
+        end = n if conf.free == "col" and d > n else d - m if conf.free == "row" and d > m else n if d == n + m else 0
+        if end and (new[end] < best or conf.free == "none"):
+            best, length = float(new[end]), int(new_len[end])
+        two, one, two_len, one_len = one, new, one_len, new_len
+    return best, length
+
+
+def align(pairs: DataFrame, conf: DtwConfig = DtwConfig(), cost=difference, stdv: str | None = None) -> DataFrame:
+    """pairs (id, signal, levels) to (id, score, mean_score, path_length). ``cost`` is ``difference`` or ``unlikeliness``, which takes a column ``stdv`` of the levels' deviations."""
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("mean_score", pa.float64()), ("path_length", pa.int64())])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for i, x, y in zip(batch.column("id").to_pylist(), batch.column("signal").to_pylist(), batch.column("levels").to_pylist(), strict=True):
-                if not x or not y or len(x) > MAX_POINTS or len(y) > MAX_POINTS:
+            for i, x, y, sd in zip(batch.column("id").to_pylist(), batch.column("signal").to_pylist(), batch.column("levels").to_pylist(), batch.column("sd").to_pylist(), strict=True):
+                if not x or not y:
                     rows.append((i, None, None, None))
                     continue
-                score, path = warp(np.abs(np.array(y, dtype=float)[:, None] - np.array(x, dtype=float)[None, :]), conf)
-                rows.append((i, score, score / len(path), len(path)))
+                score, length = warp_score(np.array(y, dtype=float), None if sd is None else np.array(sd, dtype=float), np.array(x, dtype=float), cost, conf)
+                rows.append((i, score, score / length, length))
             cols = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return pairs.selectExpr("cast(id as bigint) id", "cast(signal as array<double>) signal", "cast(levels as array<double>) levels").mapInArrow(run, "id long, score double, mean_score double, path_length long")
+    return pairs.selectExpr("cast(id as bigint) id", "cast(signal as array<double>) signal", "cast(levels as array<double>) levels", f"cast({stdv or 'null'} as array<double>) sd").mapInArrow(run, "id long, score double, mean_score double, path_length long")
 
 
 def kept_events(levels: np.ndarray, length: int = 25, least: float = 5.0) -> np.ndarray:
@@ -90,12 +128,12 @@ def kept_events(levels: np.ndarray, length: int = 25, least: float = 5.0) -> np.
     return np.array([not (still[p + 1 : p + length] if p <= n - length else still[p:]).any() for p in range(n)], dtype=bool)
 
 
-def warp_reads(reads: DataFrame, queries: DataFrame, refs: DataFrame, mean: np.ndarray, conf: DtwConfig = EVENT_COLUMNS, k: int = 5, by_event: bool = True) -> DataFrame:
+def warp_reads(reads: DataFrame, queries: DataFrame, refs: DataFrame, mean: np.ndarray, conf: DtwConfig = EVENT_COLUMNS, k: int = 5, by_event: bool = True, stdv: np.ndarray | None = None) -> DataFrame:
     """Each query's span of a read warped onto the levels of its reference span: (rd_name, rf_name, rf_st, score, mean_score, path_length).
 
     ``reads``: read_id, signal; ``queries``: as ``read_dtw_queries`` gives them (both read ends 0: the whole read; end 0:
-    to its end); ``refs``: name, seq; ``mean``: the model's 4^k levels. The signal, or its events without still ones, is
-    scaled to the mean and deviation of the span's levels. Spans without a k-mer, empty signals and too long ones have null scores.
+    to its end); ``refs``: name, seq; ``mean``: the model's 4^k levels; with ``stdv``, its deviations, the cost is unlikeliness. The signal, or its events without still ones, is
+    scaled to the mean and deviation of the span's levels. Spans without a k-mer and empty signals have null scores.
     """
     x = queries.join(reads.select(F.col("read_id").cast("string").alias("_r"), "signal"), F.col("rd_name") == F.col("_r"))
     x = x.join(refs.select(F.col("name").alias("_n"), "seq"), F.col("rf_name") == F.col("_n"))
@@ -115,12 +153,12 @@ def warp_reads(reads: DataFrame, queries: DataFrame, refs: DataFrame, mean: np.n
         if by_event:
             found = np.array([e[2] for e in events(found, SegmentConfig())])
             found = found[kept_events(found)] if len(found) else found
-        if not len(found) or len(found) > MAX_POINTS or len(y) > MAX_POINTS:
+        if not len(found):
             return None, None, None
         sd = found.std()
         found = (found - found.mean()) * (y.std() / sd if sd > 0 else 1.0) + y.mean()
-        total, path = warp(np.abs(y[:, None] - found[None, :]), conf)
-        return total, total / len(path), len(path)
+        total, length = warp_score(y, None if stdv is None else stdv[np.array(codes)], found, difference if stdv is None else unlikeliness, conf)
+        return total, total / length, length
 
     def run(batches):
         for batch in batches:

@@ -74,23 +74,58 @@ def threshold_bin(length: Column) -> Column:
     return 64 - F.char_length(F.conv(length, 10, 2))
 
 
+def concatenated(points: DataFrame, refs: DataFrame, name: str = "name", local: str = "local") -> DataFrame:
+    """Places ``p`` in the concatenation of (name, local) points; null for a name that ``refs`` (name, offset, len) does not have."""
+    known = refs.select(F.col("name").alias("_n"), F.col("offset").alias("_o"))
+    return points.join(known, F.col(name) == F.col("_n"), "left").withColumn("p", F.col("_o") + F.col(local)).drop("_n", "_o")
+
+
+class Reference:
+    """Sequences one behind the other, an N after each, so that no match runs over an end; and a place's sequence."""
+
+    def __init__(self, seqs: list[tuple[str, str]]):
+        self.names = [n for n, _ in seqs]
+        self.sizes = np.array([len(s) for _, s in seqs], dtype=np.int64)
+        self.offsets = np.concatenate(([0], np.cumsum(self.sizes + 1)))[:-1] if seqs else np.empty(0, dtype=np.int64)
+        self.text = "".join(f"{s}N" for _, s in seqs)
+
+    def at(self, place: int) -> tuple[str, int, int]:
+        """(name, local place, length) of the sequence that holds a place."""
+        i = int(np.searchsorted(self.offsets, place, side="right")) - 1
+        return self.names[i], place - int(self.offsets[i]), int(self.sizes[i])
+
+
+def store_index(spark, seqs: list[tuple[str, str]], path: str, block: int = 1 << 18) -> None:
+    """The reference and its suffix array as Parquet: sorted once here, read by every mapping after. At most MAX_BASES bases."""
+    ref = Reference(seqs)
+    sa = FmIndex(ref.text).sa.astype("<i4")
+    spark.createDataFrame(list(zip(ref.names, (s for _, s in seqs), range(len(seqs)), strict=True)), "name string, seq string, i long").write.parquet(f"{path}/sequences")
+    spark.createDataFrame([(i, sa[i : i + block].tobytes()) for i in range(0, len(sa), block)], "i long, sa binary").write.parquet(f"{path}/suffixes")
+
+
+def load_index(spark, path: str) -> tuple[Reference, np.ndarray]:
+    """The stored reference and suffix array. What is stored is at most MAX_BASES bases and four bytes a suffix, so it may be broadcast."""
+    seqs = [(r.name, r.seq) for r in spark.read.parquet(f"{path}/sequences").orderBy("i").collect()]
+    parts = spark.read.parquet(f"{path}/suffixes").orderBy("i").collect()
+    return Reference(seqs), np.frombuffer(b"".join(bytes(r.sa) for r in parts), dtype="<i4")
+
+
 class FmIndex:
     """Backward search over a text and its reverse complement, built so that appending a base to a match is one step.
 
     The indexed text is the reversed concatenation of both strands; a match of length m at place p of it stands at
-    ``len(text) - p - m`` of the concatenation.
+    ``len(text) - p - m`` of the concatenation. Letters other than bases match nothing. ``sa`` is a suffix array made before.
     """
 
-    def __init__(self, seq: str, step: int = 64):
+    def __init__(self, seq: str, sa: np.ndarray | None = None):
         if len(seq) > MAX_BASES:
             raise ValueError(f"references are limited to {MAX_BASES} bases")
         fwd = _CODE[np.frombuffer(seq.upper().encode(), dtype=np.uint8)]
-        fwd = np.where(fwd > 3, 0, fwd).astype(np.uint8)
         self.size = 2 * len(fwd)
-        text = np.concatenate((fwd, 3 - fwd[::-1]))[::-1]
-        self.sa = self._suffixes(text)
+        text = np.concatenate((fwd, np.where(fwd > 3, 4, 3 - fwd)[::-1]))[::-1].astype(np.uint8)
+        self.sa = self._suffixes(text) if sa is None else sa
         before = np.where(self.sa > 0, text[self.sa - 1], 4)
-        self.counts = np.zeros((5, self.size + 1), dtype=np.int32)
+        self.counts = np.zeros((4, self.size + 1), dtype=np.int32)
         for b in range(4):
             np.cumsum(before == b, out=self.counts[b, 1:])
         # the suffix that is empty sorts first and stands for the text's end
@@ -130,6 +165,8 @@ class FmIndex:
     def search(self, seq: str) -> tuple[int, int]:
         """Half-open range of a whole string's matches."""
         codes = _CODE[np.frombuffer(seq.upper().encode(), dtype=np.uint8)]
+        if (codes > 3).any() or not len(codes):
+            return 0, 0
         lo, hi = self.base_range(int(codes[0]))
         for b in codes[1:]:
             lo, hi = (int(x[0]) for x in self.extend(np.array([lo]), np.array([hi]), np.array([b])))

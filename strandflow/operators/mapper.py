@@ -11,6 +11,8 @@ paths are arrays, so the work an event is vectorised over at most ``max_paths``
 
 from __future__ import annotations
 
+import time
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandflow.operators.index import FmIndex
-from strandflow.operators.segment import SegmentConfig, events
+from strandflow.functions.signal import BASES_PER_SECOND, SAMPLES_PER_SECOND
+from strandflow.operators.index import FmIndex, Reference
+from strandflow.operators.segment import SegmentConfig, events, mean_event_length
 
 K = 5
 
@@ -47,39 +50,62 @@ class MapConfig:
 
 
 class Clusters:
-    """Seed chains: (first reference start, current start, end, first event, last event, covered length)."""
+    """Seed chains in places of k-mers: [first start, start of the last seed, end, first event, last event, covered k-mers]."""
 
     def __init__(self, conf: MapConfig):
         self.conf, self.rows = conf, []
+        #: (start of the last seed, number) of all chains in order, and their sizes in order
+        self.starts: list[tuple[int, int]] = []
+        self.sizes: list[int] = []
+        self.total = 0
 
-    def add(self, end: int, length: int, evt: int) -> None:
-        start = end - length + 1
-        best = -1
-        for n, (_, at, _, _, e1, size) in enumerate(self.rows):
-            move, events_ = start - at, evt - e1
-            if 0 <= move <= events_ and move >= events_ // 12 and (best < 0 or size > self.rows[best][5]):
+    def add(self, end: int, length: int, evt: int) -> int:
+        """The number of the chain that the seed of ``length`` k-mers up to ``end`` goes to: the longest that it can follow, the nearest of equal ones."""
+        start, best = end - length + 1, -1
+        # a chain further back than there are events can't be followed
+        for at, n in reversed(self.starts[bisect_left(self.starts, (start - evt, -1)) : bisect_right(self.starts, (start, len(self.rows)))]):
+            move, passed = start - at, evt - self.rows[n][4]
+            if move <= passed and move >= passed // 12 and (best < 0 or self.rows[n][5] > self.rows[best][5]):
                 best = n
         if best < 0:
             self.rows.append([start, start, end, evt, evt, length])
-            return
+            insort(self.starts, (start, len(self.rows) - 1))
+            insort(self.sizes, length)
+            self.total += length
+            return len(self.rows) - 1
         row = self.rows[best]
-        row[5] += max(0, end - row[2]) if start < row[2] else length
-        row[1], row[2], row[4] = start, max(end, row[2]), evt
+        gain = max(0, end - row[2]) if start < row[2] else length
+        del self.starts[bisect_left(self.starts, (row[1], best))], self.sizes[bisect_left(self.sizes, row[5])]
+        row[1], row[2], row[4], row[5] = start, max(end, row[2]), evt, row[5] + gain
+        insort(self.starts, (start, best))
+        insort(self.sizes, row[5])
+        self.total += gain
+        return best
 
     def confident(self):
-        if len(self.rows) < 2:
-            return None
-        sizes = sorted((r[5] for r in self.rows), reverse=True)
-        if sizes[0] < self.conf.min_map_len or not (sizes[0] / np.mean(sizes) >= self.conf.min_mean_ratio or sizes[0] / sizes[1] >= self.conf.min_top_ratio):
+        """The longest chain, if it stands out."""
+        c, sizes = self.conf, self.sizes
+        if len(sizes) < 2 or sizes[-1] < c.min_map_len or not (sizes[-1] * len(sizes) >= c.min_mean_ratio * self.total or sizes[-1] >= c.min_top_ratio * sizes[-2]):
             return None
         return max(self.rows, key=lambda r: r[5])
 
 
+class Beam:
+    """A read's search: its paths as arrays, its chains and the number of events seen. Plain data, so that it can be kept as state."""
+
+    def __init__(self, conf: MapConfig):
+        self.lo = self.hi = self.kmer = self.stays = self.moves = self.steps = np.empty(0, dtype=np.int64)
+        self.probs = np.empty((0, conf.seed_len))
+        self.clusters, self.events, self.best = Clusters(conf), 0, None
+
+
 class Mapper:
-    """One reference, one model, one configuration; ``map_signal`` is pure."""
+    """One reference (a sequence, or a ``Reference`` of several), one model, one configuration."""
 
-    def __init__(self, seq: str, mean: np.ndarray, stdv: np.ndarray, conf: MapConfig = MapConfig()):
-        self.fm, self.conf, self.length = FmIndex(seq), conf, len(seq)
+    def __init__(self, ref: str | Reference, mean: np.ndarray, stdv: np.ndarray, conf: MapConfig = MapConfig(), sa: np.ndarray | None = None):
+        self.ref = ref if isinstance(ref, Reference) else None
+        text = ref.text if self.ref else ref
+        self.fm, self.conf, self.length = FmIndex(text, sa), conf, len(text)
         self.mean, self.two_var, self.log_den = mean, 2 * stdv * stdv, np.log(np.sqrt(2 * np.pi) * stdv)
         self.tgt_mean, self.tgt_stdv = float(mean.mean()), float(mean.std())
         self.table = conf.table()
@@ -90,43 +116,53 @@ class Mapper:
         for b in base[1:]:
             lo, hi = self.fm.extend(lo, hi, b)
         self.kmer_lo, self.kmer_hi = lo, np.maximum(lo, hi)
+        self.present = self.kmer_hi > self.kmer_lo
+        #: where given, rows of seeds and paths are added to these lists
+        self.seen_seeds: list | None = None
+        self.seen_paths: list | None = None
 
     def _bin(self, size: np.ndarray) -> np.ndarray:
-        return 63 - np.floor(np.log2(np.maximum(size, 1))).astype(int)
+        # the exponent of a float is the place of the highest bit
+        return 64 - np.frexp(np.maximum(size, 1))[1]
 
     def normalise(self, x: np.ndarray) -> np.ndarray:
         sd = x.std()
         return (x - x.mean()) * (self.tgt_stdv / sd if sd > 0 else 1.0) + self.tgt_mean
 
-    def map_events(self, levels: np.ndarray):
-        """(event number, best cluster row) at the first confident event, else (events seen, None)."""
-        c, fm = self.conf, self.fm
-        clusters = Clusters(c)
-        lo = hi = kmer = stays = moves = steps = np.empty(0, dtype=np.int64)
-        probs = np.empty((0, c.seed_len))
-        for evt, x in enumerate(levels[: c.max_events]):
-            p = -((x - self.mean) ** 2) / self.two_var - self.log_den
-            need = self.table[self._bin(hi - lo)] if len(lo) else np.empty(0)
-            # children: one stay, four moves
-            parts = []
-            stay = np.flatnonzero((stays < c.max_stays) & (p[kmer] >= need)) if len(lo) else np.empty(0, dtype=np.int64)
-            parts.append((stay, lo[stay], hi[stay], kmer[stay], np.zeros(len(stay), dtype=np.int64)))
-            for b in range(4):
-                nxt = ((kmer << 2) & (4**K - 1)) | b
-                ok = np.flatnonzero(p[nxt] >= need) if len(lo) else np.empty(0, dtype=np.int64)
-                l2, h2 = fm.extend(lo[ok], hi[ok], np.full(len(ok), b)) if len(ok) else (lo[ok], hi[ok])
-                live = h2 > l2
-                parts.append((ok[live], l2[live], h2[live], nxt[ok[live]], np.ones(int(live.sum()), dtype=np.int64)))
-            parent, nlo, nhi, nk, moved = (np.concatenate([q[i] for q in parts]).astype(np.int64) for i in range(5))
+    def advance(self, beam: Beam, levels: np.ndarray) -> bool:
+        """Take normalised events in order; True as soon as a chain is confident (``beam.best``)."""
+        for x in levels:
+            if beam.best is not None or beam.events >= self.conf.max_events:
+                break
+            self._event(beam, x)
+            beam.events += 1
+            beam.best = beam.clusters.confident()
+        return beam.best is not None
+
+    def _event(self, beam: Beam, x: float) -> None:
+        c, fm, evt = self.conf, self.fm, beam.events
+        p = -((x - self.mean) ** 2) / self.two_var - self.log_den
+        lo, hi, kmer = beam.lo, beam.hi, beam.kmer
+        if len(lo):
+            need = self.table[self._bin(hi - lo)]
+            stay = np.flatnonzero((beam.stays < c.max_stays) & (p[kmer] >= need))
+            successors = ((kmer << 2) & (4**K - 1))[:, None] | np.arange(4)
+            parent, base = np.nonzero(p[successors] >= need[:, None])
+            l2, h2 = fm.extend(lo[parent], hi[parent], base)
+            live = h2 > l2
+            parent, l2, h2, nxt = parent[live], l2[live], h2[live], successors[parent[live], base[live]]
+            moved = np.concatenate((np.zeros(len(stay), dtype=np.int64), np.ones(len(parent), dtype=np.int64)))
+            parent = np.concatenate((stay, parent))
+            nlo, nhi, nk = np.concatenate((lo[stay], l2)), np.concatenate((hi[stay], h2)), np.concatenate((kmer[stay], nxt))
             alone = np.ones(len(lo), dtype=bool)
             alone[parent] = False
-            self._seeds(clusters, np.flatnonzero(alone), lo, hi, moves, steps, probs, evt - 1, True)
-            np_, ns, nm, nt = np.roll(probs[parent], -1, axis=1), np.where(moved == 1, 0, stays[parent] + 1), moves[parent], steps[parent]
-            np_[:, -1] = p[nk]
+            self._seeds(beam, np.flatnonzero(alone), evt - 1, True)
+            np_ = np.empty((len(parent), c.seed_len))
+            np_[:, :-1], np_[:, -1] = beam.probs[parent, 1:], p[nk]
             # the history is a bit row of the last seed_len - 1 steps, the newest lowest
-            nm = ((nm << 1) | moved) & ((1 << (c.seed_len - 1)) - 1)
-            nt = np.minimum(nt + 1, c.seed_len)
-            score = np.where(nt > 0, np_.sum(axis=1) / np.maximum(nt, 1), -np.inf)
+            nm = ((beam.moves[parent] << 1) | moved) & ((1 << (c.seed_len - 1)) - 1)
+            nt = np.minimum(beam.steps[parent] + 1, c.seed_len)
+            score = np_.sum(axis=1) / nt
             # of equal ranges the likeliest stays
             order = np.lexsort((-score, nhi, nlo))
             first = np.ones(len(order), dtype=bool)
@@ -134,84 +170,175 @@ class Mapper:
             keep = order[first]
             if len(keep) > c.max_paths:
                 keep = keep[np.argsort(-score[keep], kind="stable")[: c.max_paths]]
-            lo, hi, kmer, stays, moves, steps, probs, moved = nlo[keep], nhi[keep], nk[keep], ns[keep], nm[keep], nt[keep], np_[keep], moved[keep]
-            fresh = np.flatnonzero(moved == 1)
-            self._seeds(clusters, fresh, lo, hi, moves, steps, probs, evt, False)
-            if (best := clusters.confident()) is not None:
-                return evt, best
-            # new paths over the k-mers that pass the strictest threshold and have no path
-            room = c.max_paths - len(lo)
-            covered = np.zeros(4**K, dtype=bool)
-            covered[kmer] = True
-            src = np.flatnonzero((p >= self.table[0]) & ~covered & (self.kmer_hi > self.kmer_lo))[:room]
-            gap = np.flatnonzero((p >= self.table[0]) & covered)
-            glo, ghi, gk = self._uncovered(gap, lo, hi, kmer)
-            slo, shi, sk = np.concatenate((self.kmer_lo[src], glo)), np.concatenate((self.kmer_hi[src], ghi)), np.concatenate((src, gk))
-            slo, shi, sk = slo[:room], shi[:room], sk[:room].astype(np.int64)
-            start = np.zeros((len(sk), c.seed_len))
-            start[:, -1] = p[sk]
-            zeros = np.zeros(len(sk), dtype=np.int64)
-            lo, hi, kmer, stays, moves, steps, probs = (np.concatenate(q) for q in ((lo, slo), (hi, shi), (kmer, sk), (stays, zeros), (moves, zeros), (steps, zeros + 1), (probs, start)))
-        return min(len(levels), c.max_events), None
+            stays = np.where(moved == 1, 0, beam.stays[parent] + 1)
+            beam.lo, beam.hi, beam.kmer, beam.stays, beam.moves, beam.steps, beam.probs = nlo[keep], nhi[keep], nk[keep], stays[keep], nm[keep], nt[keep], np_[keep]
+            if self.seen_paths is not None:
+                self._note_paths(beam, evt, parent[keep], score[keep])
+            self._seeds(beam, np.flatnonzero(moved[keep] == 1), evt, False)
+        # new paths over the k-mers that pass the strictest threshold: whole ranges without a path, and what paths leave uncovered
+        room = max(0, c.max_paths - len(beam.lo))
+        passing = np.flatnonzero((p >= self.table[0]) & self.present)
+        covered = np.zeros(4**K, dtype=bool)
+        covered[beam.kmer] = True
+        src = passing[~covered[passing]]
+        glo, ghi, gk = self._uncovered(passing[covered[passing]], beam.lo, beam.hi, beam.kmer)
+        slo, shi = np.concatenate((self.kmer_lo[src], glo))[:room], np.concatenate((self.kmer_hi[src], ghi))[:room]
+        sk = np.concatenate((src, gk))[:room].astype(np.int64)
+        start = np.zeros((len(sk), c.seed_len))
+        start[:, -1] = p[sk]
+        zeros = np.zeros(len(sk), dtype=np.int64)
+        join = np.concatenate
+        beam.lo, beam.hi, beam.kmer, beam.probs = join((beam.lo, slo)), join((beam.hi, shi)), join((beam.kmer, sk)), join((beam.probs, start))
+        beam.stays, beam.moves, beam.steps = join((beam.stays, zeros)), join((beam.moves, zeros)), join((beam.steps, zeros + 1))
 
     def _uncovered(self, which, lo, hi, kmer):
         """The parts of the given k-mers' ranges that no path's range covers."""
-        out = [(np.empty(0, dtype=np.int64),) * 3]
-        order = np.lexsort((lo, kmer))
-        starts = np.searchsorted(kmer[order], which)
-        ends = np.searchsorted(kmer[order], which, side="right")
-        for k, a, b in zip(which, starts, ends, strict=True):
-            own = order[a:b]
-            reach = np.maximum.accumulate(hi[own])
-            left = np.concatenate(([self.kmer_lo[k]], reach))
-            right = np.concatenate((lo[own], [self.kmer_hi[k]]))
-            free = right > left
-            out.append((left[free], right[free], np.full(int(free.sum()), k)))
-        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
-
-    def _seeds(self, clusters, which, lo, hi, moves, steps, probs, evt, ended) -> None:
-        c = self.conf
+        none = np.empty(0, dtype=np.int64)
         if not len(which):
+            return none, none, none
+        wanted = np.zeros(4**K, dtype=bool)
+        wanted[which] = True
+        order = np.flatnonzero(wanted[kmer])
+        order = order[np.lexsort((lo[order], kmer[order]))]
+        k, left, right = kmer[order], lo[order], hi[order]
+        # the furthest end so far within a k-mer: ranges of one k-mer stay within its own, so a shift per k-mer keeps them apart
+        turn = np.concatenate(([True], k[1:] != k[:-1]))
+        group = np.cumsum(turn) - 1
+        shift = group * (self.fm.size + 1)
+        reach = np.maximum.accumulate(right + shift) - shift
+        begin = np.where(turn, self.kmer_lo[k], np.concatenate(([0], reach[:-1])))
+        last = np.concatenate((turn[1:], [True]))
+        glo, ghi, gk = np.concatenate((begin, reach[last])), np.concatenate((left, self.kmer_hi[k[last]])), np.concatenate((k, k[last]))
+        free = ghi > glo
+        return glo[free], ghi[free], gk[free]
+
+    def _seeds(self, beam: Beam, which, evt: int, ended: bool) -> None:
+        c = self.conf
+        full = which[beam.steps[which] >= c.seed_len] if len(which) else which
+        if not len(full):
             return
-        full = which[(steps[which] >= c.seed_len)]
-        full = full[probs[full].mean(axis=1) >= c.min_seed_prob]
-        n_moves = np.bitwise_count(moves[full])
-        size = hi[full] - lo[full]
+        full = full[beam.probs[full].mean(axis=1) >= c.min_seed_prob]
+        n_moves = np.bitwise_count(beam.moves[full]).astype(np.int64)
+        size = beam.hi[full] - beam.lo[full]
         ok = (size <= c.max_copies) if ended else ((size == 1) & (c.seed_len - 1 - n_moves <= c.max_stay_share * c.seed_len))
-        for i, m in zip(full[ok], n_moves[ok], strict=True):
-            length = int(m) + K
-            for place in self.fm.places(int(lo[i]), int(hi[i]), length):
-                clusters.add(int(place) + length - 1, length, evt)
+        for i, m in zip(full[ok].tolist(), n_moves[ok].tolist(), strict=True):
+            for place in self.fm.places(int(beam.lo[i]), int(beam.hi[i]), m + K).tolist():
+                number = beam.clusters.add(place + m, m + 1, evt)
+                if self.seen_seeds is not None:
+                    self.seen_seeds.append((place, place + m + K, evt, i, number))
+
+    def _note_paths(self, beam: Beam, evt: int, parent, score) -> None:
+        for i in range(len(parent)):
+            bits = f"{int(beam.moves[i]):0{self.conf.seed_len - 1}b}"[::-1]
+            self.seen_paths.append((evt, i, int(parent[i]), int(beam.lo[i]), int(beam.hi[i] - beam.lo[i]), int(beam.kmer[i]), int(beam.steps[i]), float(score[i]), bits[: int(beam.steps[i]) - 1]))
+
+    def located(self, best: list):
+        """A chain's place: forward, 0-based and half-open, in its own sequence."""
+        st, en, size = best[0], best[2] + K, self.fm.size
+        fwd = st < size // 2
+        at = st if fwd else size - en
+        name, local, length = self.ref.at(at) if self.ref else (None, at, self.length)
+        return {"is_fwd": bool(fwd), "rf_name": name, "rf_len": length, "rf_st": local, "rf_en": local + en - st, "matches": int(best[5]) + K - 1}
+
+    def record(self, beam: Beam, mean_length: float | None) -> dict:
+        """The read's record: unmapped ones have nulls. Read places are events by their mean length, in bases."""
+        bp = lambda evt, last: int(max(0, evt) * (mean_length or 0.0) * BASES_PER_SECOND / SAMPLES_PER_SECOND) + (K - 1 if last else 0)
+        out = {"is_mapped": beam.best is not None, "events": beam.events, "qr_len": bp(beam.events, True)}
+        if beam.best is None:
+            return out
+        return out | {"qr_st": bp(beam.best[3] - self.conf.seed_len, False), "qr_en": bp(beam.best[4], True)} | self.located(beam.best)
 
     def map_signal(self, signal: np.ndarray) -> dict:
-        """The read's record: unmapped ones have nulls."""
         found = events(signal, self.conf.segment)
-        levels = self.normalise(np.array([e[2] for e in found])) if found else np.empty(0)
-        evt, best = self.map_events(levels)
-        if best is None:
-            return {"is_mapped": False, "events": evt}
-        st, en, size = best[0], best[2], 2 * self.length
-        fwd = en < self.length
-        rf_st = st if fwd else size - 1 - en
-        return {"is_mapped": True, "is_fwd": bool(fwd), "rf_st": int(max(0, rf_st)), "rf_en": int(min(self.length, rf_st + en - st + 1)), "matches": int(best[5]), "events": int(evt + 1)}
+        beam = Beam(self.conf)
+        if found:
+            self.advance(beam, self.normalise(np.array([e[2] for e in found])))
+        return self.record(beam, mean_event_length(signal, self.conf.segment))
 
 
-SCHEMA = "read_id long, is_mapped boolean, is_fwd boolean, rf_st long, rf_en long, matches long, events long"
+FIELDS = [("read_id", "long"), ("is_mapped", "boolean"), ("is_fwd", "boolean"), ("rf_name", "string"), ("rf_len", "long"), ("rf_st", "long"), ("rf_en", "long"), ("matches", "long"), ("events", "long"), ("qr_len", "long"), ("qr_st", "long"), ("qr_en", "long"), ("mt", "double")]
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 _BUILT: dict[str, Mapper] = {}
 
 
-def map_reads(reads: DataFrame, build: Callable[[], Mapper], name: str) -> DataFrame:
-    """reads (read_id, signal) to records. ``build`` makes the mapper, once a worker, from bounded inputs (a reference of at most MAX_BASES)."""
-    kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
+def worker_mapper(build: Callable[[], Mapper], name: str) -> Mapper:
+    """The mapper of this name, made once a worker; an older one goes first, as each holds a whole reference."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build()
+    return _BUILT[name]
+
+
+def _mapped(reads: DataFrame, fields: list[tuple[str, str]], rows_of: Callable) -> DataFrame:
+    schema = pa.schema([(n, _ARROW[t]) for n, t in fields])
 
     def run(batches):
-        if name not in _BUILT:
-            _BUILT[name] = build()
-        mapper = _BUILT[name]
         for batch in batches:
-            rows = [{"read_id": i} | mapper.map_signal(np.array(s.as_py() or [], dtype=float)) for i, s in zip(batch.column("read_id").to_pylist(), batch.column("signal"), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], schema=schema)
+            rows = []
+            for i, s in zip(batch.column("read_id").to_pylist(), batch.column("signal"), strict=True):
+                rows += rows_of(i, np.array(s.as_py() or [], dtype=float))
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], schema=schema)
+
+    return reads.selectExpr("cast(read_id as bigint) read_id", "cast(signal as array<double>) signal").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
+
+
+def map_reads(reads: DataFrame, build: Callable[[], Mapper], name: str) -> DataFrame:
+    """reads (read_id, signal) to records. ``build`` makes the mapper, once a worker, from bounded inputs (a reference of at most MAX_BASES).
+
+    ``mt`` is the milliseconds that a read took; all else follows the read alone.
+    """
+
+    def one(i, signal):
+        mapper, began = worker_mapper(build, name), time.perf_counter()
+        return [{"read_id": i} | mapper.map_signal(signal) | {"mt": 1000 * (time.perf_counter() - began)}]
+
+    return _mapped(reads, FIELDS, one)
+
+
+SEED_FIELDS = [("read_id", "long"), ("rf", "string"), ("st", "long"), ("en", "long"), ("evt", "long"), ("path", "long"), ("cluster", "long"), ("is_fwd", "boolean")]
+PATH_FIELDS = [("read_id", "long"), ("evt", "long"), ("path", "long"), ("parent", "long"), ("fm_start", "long"), ("fm_len", "long"), ("kmer", "long"), ("full_len", "long"), ("match_prob", "double"), ("moves", "string")]
+EVENT_FIELDS = [("read_id", "long"), ("evt", "long"), ("start", "long"), ("length", "long"), ("mean", "double"), ("stdv", "double"), ("norm", "double")]
+
+
+def seed_table(reads: DataFrame, build: Callable[[], Mapper], name: str) -> DataFrame:
+    """Every seed of the reads' searches: its place on the forward strand, event, path number and chain."""
+
+    def one(i, signal):
+        mapper = worker_mapper(build, name)
+        mapper.seen_seeds, size = [], mapper.fm.size
+        mapper.map_signal(signal)
+        rows, mapper.seen_seeds = mapper.seen_seeds, None
+        out = []
+        for st, en, evt, path, number in rows:
+            fwd = st < size // 2
+            at = st if fwd else size - en
+            rf, local, _ = mapper.ref.at(at) if mapper.ref else (None, at, 0)
+            out.append({"read_id": i, "rf": rf, "st": local, "en": local + en - st, "evt": evt, "path": path, "cluster": number, "is_fwd": fwd})
+        return out
+
+    return _mapped(reads, SEED_FIELDS, one)
+
+
+def path_table(reads: DataFrame, build: Callable[[], Mapper], name: str) -> DataFrame:
+    """Every path that an event leaves, with its parent among those of the event before (a new path has none and is listed with its first child)."""
+
+    def one(i, signal):
+        mapper = worker_mapper(build, name)
+        mapper.seen_paths = []
+        mapper.map_signal(signal)
+        rows, mapper.seen_paths = mapper.seen_paths, None
+        return [dict(zip([n for n, _ in PATH_FIELDS], (i, *r), strict=True)) for r in rows]
+
+    return _mapped(reads, PATH_FIELDS, one)
+
+
+def event_table(reads: DataFrame, build: Callable[[], Mapper], name: str) -> DataFrame:
+    """The events of the reads, as measured and as the search sees them."""
+
+    def one(i, signal):
+        mapper = worker_mapper(build, name)
+        found = events(signal, mapper.conf.segment)
+        norm = mapper.normalise(np.array([e[2] for e in found])) if found else []
+        return [dict(zip([n for n, _ in EVENT_FIELDS], (i, k, *e, float(x)), strict=True)) for k, (e, x) in enumerate(zip(found, norm, strict=True))]
 
-    return reads.selectExpr("cast(read_id as bigint) read_id", "cast(signal as array<double>) signal").mapInArrow(run, SCHEMA)
+    return _mapped(reads, EVENT_FIELDS, one)

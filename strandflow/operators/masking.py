@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import kmers
 from strandflow.functions.intervals import merge
+from strandflow.storage import kept
 
 
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, n) over all sequences; k-mers with a letter other than a base are left out."""
-    return seqs.select(F.explode(kmers.kmers(F.upper("seq"), k)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    """(kmer, n) over all sequences, upper case; k-mers with a letter other than a base are left out."""
+    return seqs.select(F.explode(kmers.base_kmers(F.col("seq"), k)).alias("kmer")).groupBy(F.upper("kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def most_frequent(counts: DataFrame) -> DataFrame:
@@ -19,21 +20,31 @@ def most_frequent(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), F.col("kmer").desc()).limit(1)
 
 
+def _covered(kmer: Column) -> Column:
+    """A pattern of the letters that stand inside an occurrence of the k-mer: for each place in it, what is before and behind."""
+    part = lambda a, n: F.concat(F.lit(r"\Q"), F.substr(kmer, a, n), F.lit(r"\E"))
+    size = F.char_length(kmer)
+    at = lambda i: F.concat(F.lit("(?<="), part(F.lit(1), i - 1), F.lit(")"), part(i, F.lit(1)), F.lit("(?="), part(i + 1, size - i), F.lit(")"))
+    return F.concat(F.lit("(?i)"), F.array_join(F.transform(F.sequence(F.lit(1), size), at), "|"))
+
+
 def mask_kmer(seq: Column, kmer: Column) -> Column:
-    """Every occurrence, overlapping ones too, as N; the search ignores case and other letters keep theirs."""
-    k = F.char_length(kmer)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(seq), F.lit(1))), lambda i: F.substr(F.upper(seq), i, k) == F.upper(kmer))
-    # hits in order: keep what lies between them, with N for each hit's new letters
-    state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    step = lambda s, i: F.struct(F.concat(s["out"], F.when(i > s["at"], F.substr(seq, s["at"], i - s["at"])).otherwise(""), F.repeat(F.lit("N"), i + k - F.greatest(i, s["at"]))).alias("out"), (i + k).alias("at"))
-    return F.aggregate(hits, state, step, lambda s: F.concat(s["out"], F.substr(seq, s["at"], F.greatest(F.char_length(seq) - s["at"] + 1, F.lit(0)))))
+    """Every occurrence, overlapping ones too, as N, in one pass; the search ignores case and other letters keep theirs."""
+    return F.regexp_replace(seq, _covered(kmer), F.lit("N"))
+
+
+def masked_hits(seq: Column, kmer: Column) -> Column:
+    """How many occurrences ``mask_kmer`` masks, overlapping ones too."""
+    return F.regexp_count(seq, F.concat(F.lit(r"(?i)(?=\Q"), kmer, F.lit(r"\E)"))).cast("long")
 
 
 def mask_internal(seqs: DataFrame, k: int, rounds: int) -> DataFrame:
-    """Mask the most frequent k-mer, count again, and so on."""
+    """Mask the most frequent k-mer, count again, and so on. Each round's table is kept, so that a round costs two passes over it."""
     for _ in range(rounds):
-        top = most_frequent(kmer_counts(seqs, k)).select(F.col("kmer").alias("_top"))  # one row
-        seqs = seqs.join(F.broadcast(top), how="left").withColumn("seq", F.when(F.col("_top").isNotNull(), mask_kmer(F.col("seq"), F.col("_top"))).otherwise(F.col("seq"))).drop("_top")
+        top = most_frequent(kmer_counts(seqs, k)).first()  # one row
+        if top is None:
+            break
+        seqs = kept(seqs.withColumn("seq", mask_kmer(F.col("seq"), F.lit(top.kmer))))
     return seqs
 
 
@@ -48,9 +59,13 @@ def external_repeats(target: DataFrame, reference: DataFrame, k: int, min_copy:
 
 
 def apply_mask(seqs: DataFrame, bed: DataFrame, by: str = "item_id") -> DataFrame:
-    """Half-open intervals of a sequence as N."""
-    spans = bed.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("st", "en"))).alias("spans"))
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.when(x["st"] > s["at"], F.substr(F.col("seq"), (s["at"] + 1).cast("int"), (x["st"] - s["at"]).cast("int"))).otherwise(""), F.repeat(F.lit("N"), F.greatest(x["en"] - F.greatest(x["st"], s["at"]), F.lit(0)).cast("int"))).alias("out"), F.greatest(x["en"], s["at"]).alias("at"))
-    masked = F.aggregate("spans", state, step, lambda s: F.concat(s["out"], F.substr(F.col("seq"), (s["at"] + 1).cast("int"), F.greatest(F.char_length("seq") - s["at"], F.lit(0)).cast("int"))))
-    return seqs.join(spans, by, "left").withColumn("seq", F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("seq"))).drop("spans")
+    """Half-open intervals of a sequence as N. Overlapping ones are joined first; what lies between is cut out by byte places (four bytes a letter)."""
+    spans = merge(bed.filter("st < en").select(by, "st", "en"), [by], "st", "en").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("st", "en"))).alias("spans"))
+    joined = seqs.join(spans, by, "left").withColumn("_wide", F.when(F.col("spans").isNotNull(), F.encode("seq", "UTF-32")))
+    size = F.octet_length("_wide") / 4
+    cut = lambda a, b: F.decode(F.substr("_wide", (4 * a + 1).cast("int"), (4 * F.greatest(b - a, F.lit(0))).cast("int")), "UTF-32")
+    before = lambda i: F.when(i > 0, F.get("spans", i - 1)["en"]).otherwise(F.lit(0).cast("long"))
+    inside = lambda x: F.greatest(F.least(x["en"], size) - F.greatest(x["st"], F.lit(0)), F.lit(0)).cast("int")
+    pieces = F.transform("spans", lambda x, i: F.concat(cut(before(i), F.least(x["st"], size)), F.repeat(F.lit("N"), inside(x))))
+    tail = cut(F.element_at("spans", -1)["en"], size)
+    return joined.withColumn("seq", F.when(F.col("spans").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("seq"))).drop("spans", "_wide")

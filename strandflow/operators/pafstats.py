@@ -22,6 +22,31 @@ def tag(name: str) -> Column:
     return F.element_at("tags", name)["value"]
 
 
+def typed(value: Column, kind: Column) -> Column:
+    """A tag's value as a struct (i, f, z) with the one that its type names, the others null."""
+    of = lambda t, cast: F.when(kind == t, value.try_cast(cast))
+    return F.struct(of("i", "long").alias("i"), of("f", "double").alias("f"), F.when(~kind.isin("i", "f"), value).alias("z"))
+
+
+def set_tag(tags: Column, name: str, value: Column, kind: str) -> Column:
+    """Tags with one set, in place of an older one of its name; ``kind`` is i, f or Z."""
+    rest = F.map_filter(F.coalesce(tags, F.create_map().cast("map<string,struct<type:string,value:string>>")), lambda k, _: k != name)
+    own = F.create_map(F.lit(name), F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value")))
+    return F.when(value.isNull(), rest).otherwise(F.map_concat(rest, own))
+
+
+def tags_by_read(calls: DataFrame, name: str, order: str) -> DataFrame:
+    """(qr_name, values): a tag's values of all records of a read, in order."""
+    found = calls.select("qr_name", F.struct(F.col(order).alias("o"), tag(name).alias("v")).alias("x")).filter("x.v is not null")
+    return found.groupBy("qr_name").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("values"))
+
+
+def format_tags(tags: Column) -> Column:
+    """Tags as they stand behind a line, by name, each with a tab before it; nothing for none."""
+    rows = F.array_sort(F.map_entries(tags))
+    return F.coalesce(F.concat(*[F.array_join(F.transform(rows, lambda e: F.concat(F.lit("\t"), e["key"], F.lit(":"), e["value"]["type"], F.lit(":"), e["value"]["value"])), "")]), F.lit(""))
+
+
 def format_line(stars: int = 9) -> Column:
     """A record as a tab-separated line; an unmapped one has ``stars`` stars (9 and the quality, or 10 without it)."""
     s = lambda c: F.col(c).cast("string")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.operators.index import self_align
+from strandflow.operators.index import repeats, self_align
 
 
 def extensions(seqs: DataFrame, by: str, first: int, most: int, sample: int = 1) -> DataFrame:
@@ -114,10 +114,27 @@ class Search:
         return Preset([float(x) for x in limits], self.prob(e), self.speed(e), e)
 
 
-def search_presets(seqs: DataFrame, by: str, mean: np.ndarray, stdv: np.ndarray, targets: dict[str, dict], first: int = 5, most: int = 12) -> DataFrame:
+def usual_match(seqs: DataFrame, by: str, first: int, rare: float = 0.05) -> int:
+    """A match length at which at most a share ``rare`` of all places is not alone yet (the longest sequence where there is none): ``profile`` looks no further."""
+    longest = seqs.agg(F.max(F.char_length("seq"))).first()[0] or 0
+    most = first + 3
+    while most < longest:
+        n, shared = repeats(seqs, most, by).agg(F.count(F.lit(1)), F.count_if(F.col("copies") > 1)).first()
+        if shared <= rare * n:
+            break
+        most = 2 * most - first
+    return most + 1
+
+
+def search_presets(seqs: DataFrame, by: str, mean: np.ndarray, stdv: np.ndarray, targets: dict[str, dict], first: int = 5) -> DataFrame:
     """(name, thresholds, prob, speed), one row for each target (``{"speed": 115.0}`` or ``{"prob": 0.3}``)."""
-    counts = profile(extensions(seqs, by, first, most), by)
+    counts = profile(extensions(seqs, by, first, usual_match(seqs, by, first)), by)
     grid = np.linspace(-12.0, -0.5, 200)
     found = Search(counts, grid, *model_table(mean, stdv, grid))
     rows = [(n, p.thresholds, p.prob, p.speed) for n, t in targets.items() for p in [found.find(**t)]]
     return seqs.sparkSession.createDataFrame(rows, "name string, thresholds array<double>, prob double, speed double")
+
+
+def overall(passes: DataFrame, by: str) -> DataFrame:
+    """(by, prob, speed) of passes (share, weight, matches): the product of the shares, and the weighted mean of the matches."""
+    return passes.groupBy(by).agg(F.exp(F.sum(F.log("share"))).alias("prob"), (F.sum(F.col("weight") * F.col("matches")) / F.sum("weight")).alias("speed"))

@@ -48,37 +48,41 @@ def rank_channels(counts: DataFrame) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.orderBy("n", "channel")).cast("long"))
 
 
+def _grow_scan(found: list[tuple[float, float, int, float]], first: int, limit: float, share: float) -> tuple[int, tuple[float, float] | None]:
+    """The scan that block ``first`` (mux 1) opens: (where to look for the next opening, the scan if it gets to mux 4).
+
+    A block goes on with the scan if it comes within ``limit`` of the scan's end and has a dominant mux, the same as the
+    last one's or the next. The next mux moves the end; the same one moves it if the block ends within ``limit`` of it.
+    """
+    begin, have, end = found[first][0], 1, found[first][1]
+    lead = begin - (found[first - 1][1] if first else 0.0)
+    for j in range(first + 1, len(found)):
+        st, en, mux, part = found[j]
+        far = st - end > limit
+        if far or part < share or mux - have not in (0, 1):
+            done = (begin - lead, end if far else st) if have == 4 else None
+            # a block that is far away, or has a dominant mux after a whole scan, may open the next
+            return (j if far or (done and part >= share) else j + 1), done
+        if mux > have or en - end < limit:
+            have, end = mux, en
+        elif mux == 1:
+            return j, None
+    return len(found), None
+
+
 def assemble_scans(found: list[tuple[float, float, int, float]], limit: float = 20.0, share: float = 0.95) -> list[tuple[float, float]]:
-    """Mux scans in ordered blocks (start, end, mux, share): four dominant muxes 1 to 4 in a row, each repeated or followed by
-    the next within ``limit``. Gives [first start - gap before, last end + gap after] of each complete scan. Blocks of a run are few (a scan makes four)."""
-    out, scan, before, last_end = [], [], 0.0, 0.0
-    for st, en, mux, part in found:
-        if scan and st - scan[-1][1] > limit:
-            if len(scan) == 4:
-                out.append((scan[0][0] - before, scan[-1][1]))
-            scan = []
-        if part >= share:
-            if len(scan) == 4 and mux != 4:
-                out.append((scan[0][0] - before, scan[-1][1] + st - last_end))
-                scan = []
-            if scan and mux == len(scan):
-                if en - scan[-1][0] < limit:
-                    scan[-1] = (scan[-1][0], en)
-                elif mux == 1:
-                    scan[-1], before = (st, en), st - last_end
-                else:
-                    scan = []
-            elif mux - 1 == len(scan):
-                if not scan:
-                    before = st - last_end
-                scan.append((st, en))
-            else:
-                scan = []
-        else:
-            if len(scan) == 4:
-                out.append((scan[0][0] - before, scan[-1][1] + st - last_end))
-            scan = []
-        last_end = en
+    """Mux scans in ordered blocks (start, end, mux, share): four dominant muxes 1 to 4 in a row.
+
+    Each is given from the end of the block before it to the start of the block after it (to its own end where that is far
+    away). A scan that the run ends in is left out. Blocks of a run are few (a scan makes four).
+    """
+    out, at = [], 0
+    while at < len(found):
+        if found[at][2] != 1 or found[at][3] < share:
+            at += 1
+            continue
+        at, scan = _grow_scan(found, at, limit, share)
+        out += [scan] if scan else []
     return out
 
 
@@ -114,12 +118,12 @@ def activity(gaps: DataFrame, limit: int) -> DataFrame:
 
 
 def allocation(counts: DataFrame, total: int, least: int) -> DataFrame:
-    """Targets of reads per channel: ``least`` and a share of the rest by what the channel has over it, rounded half to even,
-    and mended by one from the last channel backwards until they add up to ``total``. Where no channel has anything over, targets are plain shares. One row a channel."""
+    """Targets of reads per channel: ``least`` (0 for a channel without reads) and a share of the rest by what the channel has over it,
+    rounded half to even, and mended by one from the last channel backwards until they add up to ``total``. Where no channel has anything over, targets are plain shares. One row a channel."""
     w = Window.partitionBy()
     df = counts.withColumn("share", F.col("n") / F.sum("n").over(w))
-    df = df.withColumn("remain", F.lit(total) * F.col("share") - least).withColumn("over", F.greatest("remain", F.lit(0.0)))
-    df = df.withColumn("raw", least + F.sum("remain").over(w) * F.col("over") / F.nullif(F.sum("over").over(w), F.lit(0.0))).withColumn("raw", F.coalesce("raw", F.lit(total) * F.col("share"))).withColumn("target", F.bround("raw").cast("long"))
+    df = df.withColumn("least", F.when(F.col("n") > 0, least).otherwise(0)).withColumn("remain", F.lit(total) * F.col("share") - F.col("least")).withColumn("over", F.greatest("remain", F.lit(0.0)))
+    df = df.withColumn("raw", F.col("least") + F.sum("remain").over(w) * F.col("over") / F.nullif(F.sum("over").over(w), F.lit(0.0))).withColumn("raw", F.coalesce("raw", F.lit(total) * F.col("share"))).withColumn("target", F.bround("raw").cast("long"))
     df = df.withColumn("error", F.lit(total) - F.sum("target").over(w)).withColumn("back", F.row_number().over(Window.orderBy(F.col("channel").desc())))
     mended = F.col("target") + F.when(F.col("back") <= F.abs("error"), F.signum("error").cast("long")).otherwise(0)
     return df.select("channel", "n", mended.alias("target"))
@@ -133,3 +137,21 @@ def donate(targets: DataFrame) -> DataFrame:
     a = spare.select(F.row_number().over(by(F.col("more").desc())).alias("slot"), F.col("channel").alias("from_channel"))
     b = lack.select(F.row_number().over(by("channel")).alias("slot"), F.col("channel").alias("to_channel"))
     return a.join(b, "slot")
+
+
+def gaps_by_scan(gaps: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Gaps (gap_st, gap_len) with the number ``scan`` of the stretch between two bounds (``bound``, few) that holds them whole; others go."""
+    order = Window.orderBy("bound")  # a run's bounds are few
+    spans = bounds.select((F.row_number().over(order) - 1).cast("long").alias("scan"), F.col("bound").alias("_lo"), F.lead("bound").over(order).alias("_hi")).filter("_hi is not null")
+    return gaps.join(F.broadcast(spans), (F.col("gap_st") > F.col("_lo")) & (F.col("gap_st") + F.col("gap_len") <= F.col("_hi"))).drop("_lo", "_hi")
+
+
+def scan_pauses(intervals: DataFrame, pause: float) -> DataFrame:
+    """Active intervals (channel, i, st, en) of a simulated run with a scan of ``pause`` after each round of them: (channel, i, st, en).
+
+    A round ends when the last channel's interval has; all channels' next intervals then wait for the scan to end.
+    """
+    rounds = intervals.groupBy("i").agg(F.max(F.col("en") - F.col("st")).alias("long"))
+    before = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # one row a round
+    begin = rounds.select(F.col("i").alias("_i"), (F.coalesce(F.sum("long").over(before), F.lit(0.0)) + (F.row_number().over(Window.orderBy("i")) - 1) * pause).alias("_begin"))
+    return intervals.join(F.broadcast(begin), F.col("i") == F.col("_i")).select("channel", "i", F.col("_begin").alias("st"), (F.col("_begin") + F.col("en") - F.col("st")).alias("en"))

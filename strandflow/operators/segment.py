@@ -1,8 +1,9 @@
-"""Event segmentation by two coupled peak detectors (Arrow UDF: each step depends on the one before).
+"""Event segmentation by two coupled peak searches (Arrow UDF: each peak depends on the one before).
 
-A short and a long detector watch the t statistic with half-windows 3 and 6. Either opens a peak once the statistic
-rises HEIGHT above its lowest value since the last event, follows it up, and fires when it has fallen HEIGHT below a
-peak over its threshold and half its window has passed. A strong short peak silences the long detector.
+The t statistic with half-windows 3 and 6 is searched for peaks: one opens where the statistic stands ``height`` above
+the lowest value since the last one, and is over when it has fallen ``height`` below a highest value over its threshold
+and half its window has passed. Strong peaks of the short statistic silence the long one. Boundaries of a prefix of a
+signal are a prefix of its boundaries, so a read can be segmented as its samples come.
 """
 
 from __future__ import annotations
@@ -38,54 +39,85 @@ def statistic(x: np.ndarray, half: int) -> np.ndarray:
     return t
 
 
-class _Detector:
-    def __init__(self, half: int, threshold: float, height: float):
-        self.half, self.threshold, self.height = half, threshold, height
-        self.silent_to = -1
-        self.restart(np.inf)
-
-    def restart(self, value: float) -> None:
-        self.place, self.value, self.sure = -1, value, False
-
-    def step(self, at: int, t: float, weaker: _Detector | None) -> bool:
-        if self.silent_to >= at:
-            return False
-        if self.place < 0:
-            if t < self.value:
-                self.value = t
-            elif t - self.value > self.height:
-                self.place, self.value = at, t
-            return False
-        if t > self.value:
-            self.place, self.value = at, t
-        if weaker is not None and self.value > self.threshold:
-            weaker.restart(np.inf)
-            weaker.silent_to = self.place + self.half
-        if self.value - t > self.height and self.value > self.threshold:
-            self.sure = True
-        if self.sure and at - self.place > self.half // 2:
-            self.restart(t)
-            return True
-        return False
+def _opening(t: list[float], at: int, stop: int, floor: float, height: float) -> int:
+    """The first place in [at, stop) where t stands over ``height`` above all values before it (``floor`` and t from ``at``); stop if none."""
+    for i in range(at, stop):
+        if t[i] < floor:
+            floor = t[i]
+        elif t[i] - floor > height:
+            return i
+    return stop
+
+
+def _summit(t: list[float], at: int, stop: int, threshold: float, height: float, wait: int) -> tuple[int, list[tuple[int, int]]]:
+    """From an opening: the step at which the peak is over (stop if it never is), and the strong steps on the way.
+
+    It is over once t has been over ``height`` under a highest value above the threshold, and over ``wait`` steps have
+    passed since the highest. A step is strong from the first highest value above the threshold on: (step, place of the highest).
+    """
+    place, fallen, strong = at, False, []
+    for i in range(at, stop):
+        if t[i] > t[place]:
+            place = i
+        if t[place] > threshold:
+            strong.append((i, place))
+            fallen = fallen or t[place] - t[i] > height
+        if fallen and i - place > wait:
+            return i, strong
+    return stop, strong
+
+
+def _peaks(t: list[float], at: int, stop: int, threshold: float, height: float, half: int):
+    """The peaks of t in [at, stop) as (end, strong steps); each is searched for from the end of the one before, whose value is the floor."""
+    floor = np.inf
+    while (opened := _opening(t, at, stop, floor, height)) < stop:
+        end, strong = _summit(t, opened, stop, threshold, height, half // 2)
+        yield end, strong
+        if end == stop:
+            return
+        at, floor = end + 1, t[end]
 
 
 def boundaries(x: np.ndarray, conf: SegmentConfig = SegmentConfig()) -> list[int]:
-    """Starts of events, 0 first. An event ends two samples before the step at which a detector fires."""
-    ts, tl = statistic(x, conf.short), statistic(x, conf.long)
-    long = _Detector(conf.long, conf.long_threshold, conf.height)
-    short = _Detector(conf.short, conf.short_threshold, conf.height)
+    """Starts of events, 0 first. An event ends two samples before the step at which a peak of either statistic is over.
+
+    Peaks of the short statistic come first, as they depend on nothing else. Each of their steps above the threshold
+    starts the search on the long statistic anew, half a short window after the place of the peak at the earliest; so
+    the long statistic is searched stretch by stretch between such steps.
+    """
+    n = max(0, len(x) - conf.long + 1)
+    ts, tl = statistic(x, conf.short)[:n].tolist(), statistic(x, conf.long)[:n].tolist()
+    ends: set[int] = set()
+    anew = [(1, 1)]  # (step, first step that counts after it)
+    for end, strong in _peaks(ts, 1, n, conf.short_threshold, conf.height, conf.short):
+        ends.add(end)
+        anew += [(step, max(step, place + conf.short + 1)) for step, place in strong]
+    for (_, begin), (stop, _) in zip(anew, [*anew[1:], (n, n)], strict=True):
+        if stop - begin > conf.long // 2:
+            ends.update(end for end, _ in _peaks(tl, begin, stop, conf.long_threshold, conf.height, conf.long) if end < stop)
+    ends.discard(n)
     out = [0]
-    for at in range(1, len(x) - conf.long + 1):
-        fired = short.step(at, ts[at], long)
-        if (long.step(at, tl[at], None) or fired) and at - conf.short + 1 > out[-1]:
+    for at in sorted(ends):
+        if at - conf.short + 1 > out[-1]:
             out.append(at - conf.short + 1)
     return out
 
 
+def mean_event_length(x: np.ndarray, conf: SegmentConfig = SegmentConfig()) -> float | None:
+    """Mean length of all events that were closed, those with a mean outside the limits too."""
+    cuts = boundaries(x, conf)
+    return float(np.mean(np.diff(cuts))) if len(cuts) > 1 else None
+
+
 def events(x: np.ndarray, conf: SegmentConfig = SegmentConfig()) -> list[tuple[int, int, float, float]]:
     """(start, length, mean, stdv); the last open segment is left out, means outside the limits are dropped."""
-    cuts = boundaries(x, conf)
-    rows = [(a, b - a, float(x[a:b].mean()), float(x[a:b].std())) for a, b in zip(cuts, cuts[1:], strict=False)]
+    cuts = np.array(boundaries(x, conf))
+    if len(cuts) < 2:
+        return []
+    size, part = np.diff(cuts), x[: cuts[-1]]
+    mean = np.add.reduceat(part, cuts[:-1]) / size
+    stdv = np.sqrt(np.add.reduceat((part - np.repeat(mean, size)) ** 2, cuts[:-1]) / size)
+    rows = zip(cuts[:-1].tolist(), size.tolist(), mean.tolist(), stdv.tolist(), strict=True)
     return [r for r in rows if conf.min_mean <= r[2] <= conf.max_mean]
 
 

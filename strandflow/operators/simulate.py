@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from strandflow.operators.mapper import K, MapConfig, Mapper, map_reads
+from strandflow.operators.mapper import K, MapConfig, Mapper
 
 
 def make_reference(length: int, seed: int = 5) -> str:
@@ -41,12 +42,32 @@ def make_reads(n: int, ref: str, mean: np.ndarray, stdv: np.ndarray, bases: int
     return pd.DataFrame(rows, columns=["read_id", "true_st", "true_fwd", "signal"])
 
 
-def simulated_mapping(spark: SparkSession, n: int, length: int = 10_000, bases: int = 400) -> DataFrame:
-    ref, (mean, stdv) = make_reference(length), make_model()
-    reads = make_reads(n, ref, mean, stdv, bases)
-    conf = MapConfig(thresholds=(-8.0, -5.0, -4.0, -3.6, -3.4, -3.4))
-    mapped = map_reads(spark.createDataFrame(reads[["read_id", "signal"]]).repartition(8), lambda: Mapper(ref, mean, stdv, conf), f"simulated-{length}")
-    return mapped.join(spark.createDataFrame(reads[["read_id", "true_st", "true_fwd"]]), "read_id")
+#: The made reference and configuration of the queries.
+MADE_LENGTH, MADE_CONF = 10_000, MapConfig(thresholds=(-8.0, -5.0, -4.0, -3.6, -3.4, -3.4))
+
+
+def made_mapper() -> Mapper:
+    return Mapper(make_reference(MADE_LENGTH), *make_model(), MADE_CONF)
+
+
+def reads_by_key(keys: DataFrame, bases: int) -> DataFrame:
+    """keys (read_id) to (read_id, true_st, true_fwd, signal): a read of the made reference for each, made in tasks from its key alone."""
+
+    def run(batches):
+        ref, (mean, stdv) = make_reference(MADE_LENGTH), make_model()
+        for batch in batches:
+            rows = []
+            for key in batch.column("read_id").to_pylist():
+                rng = np.random.default_rng(key)
+                st, fwd = int(rng.integers(0, len(ref) - bases)), bool(rng.integers(0, 2))
+                seq = ref[st : st + bases]
+                seq = seq if fwd else seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+                rows.append((key, st, fwd, read_signal(seq, mean, stdv, rng)))
+            cols = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["read_id", "true_st", "true_fwd", "signal"])
+
+    return keys.selectExpr("cast(read_id as bigint) read_id").filter("read_id is not null").mapInArrow(run, "read_id long, true_st long, true_fwd boolean, signal array<double>")
 
 
 def timeline(channels: DataFrame, eject: DataFrame | None = None, eject_time: float = 0.1) -> DataFrame:

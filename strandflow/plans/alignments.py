@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandflow.operators import pafstats
+from strandflow.operators import pafstats, yields
 from strandflow.plans import adapters as A
-from strandflow.plans.adapters import BED, PAF, SUMMARY, query
+from strandflow.plans.adapters import BED, PAF, query
 
 _EXT = """greatest(rf_st - CASE WHEN is_fwd THEN CAST(trunc(1.5 * qr_st) AS BIGINT) ELSE CAST(trunc(1.5 * (qr_len - qr_en)) AS BIGINT) END, 1) AS x_st,
   least(rf_en + CASE WHEN is_fwd THEN CAST(trunc(1.5 * (qr_len - qr_en)) AS BIGINT) ELSE CAST(trunc(1.5 * qr_st) AS BIGINT) END, rf_len) AS x_en"""
@@ -84,27 +84,91 @@ def cluster_location(spark, sf):
     return pafstats.locate(c, "size").select("id", "is_fwd", "rf_st", "rf_en", "matches")
 
 
-@query(f"""WITH {PAF}, {SUMMARY}, r AS (SELECT * FROM paf WHERE rn = 1), j AS (SELECT s.read_id, greatest(0, (en - st) / 1e6 - (coalesce(r.qr_en, 1000) / 450 + coalesce(r.mt, 0) / 1e5)) AS delay, r.qr_name IS NOT NULL AS ejected FROM summ s LEFT JOIN r ON r.qr_name = s.read_id)
-SELECT ejected, count(*) AS n, round(median(delay), 4) AS median_delay FROM j GROUP BY ejected""")
+#: A run's summary and the tagged calls of its reads, made from orders and their first lines.
+_RUN = f"""{PAF}, s AS (SELECT o_orderkey AS read_id, o_totalprice / 1000 AS duration, o_custkey % 10 / 10 AS template_start, o_totalprice / 1000 + 0.5 AS template_duration, o_custkey * 3 + 100 AS bases FROM orders),
+c AS (SELECT qr_name, qr_len, rf_st AS st, CASE WHEN is_fwd THEN qr_st / 10 END AS ej, CASE WHEN rf_st % 2 = 0 THEN qr_st * 100 END AS dl FROM paf WHERE rn = 1)"""
+
+
+def _summary(spark, sf):
+    total = F.col("o_totalprice") / 1000
+    return A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("read_id"), total.alias("duration"), (F.col("o_custkey") % 10 / 10).alias("template_start"), (total + 0.5).alias("template_duration"), (F.col("o_custkey") * 3 + 100).alias("bases"))
+
+
+def _tagged(df):
+    none = F.create_map().cast("map<string,struct<type:string,value:string>>")
+    tags = pafstats.set_tag(none, "st", F.col("rf_st"), "i")
+    tags = pafstats.set_tag(tags, "ej", F.when(F.col("is_fwd"), F.col("qr_st") / 10), "f")
+    tags = pafstats.set_tag(tags, "dl", F.when(F.col("rf_st") % 2 == 0, F.col("qr_st") * 100), "i")
+    return df.withColumn("tags", pafstats.set_tag(tags, "tp", F.when(F.col("rn") % 3 != 0, F.lit("P")), "Z"))
+
+
+@query(f"WITH {_RUN} SELECT read_id, round(CASE WHEN ej IS NOT NULL THEN greatest(0, duration - template_start - (qr_len / 450 + ej)) END, 6) AS delay FROM s LEFT JOIN c ON qr_name = read_id")
 def eject_delay(spark, sf):
-    """Delay between an ejected read's decision and its end, never under 0."""
-    r = A.paf(spark, sf).filter("rn = 1").select("qr_name", "qr_en", "mt")
-    s = A.summary(spark, sf)
-    j = s.join(r, s.read_id == r.qr_name, "left")
-    delay = F.greatest(F.lit(0.0), (F.col("en") - F.col("st")) / 1e6 - (F.coalesce("qr_en", F.lit(1000)) / 450 + F.coalesce("mt", F.lit(0.0)) / 1e5))
-    return j.select(F.col("qr_name").isNotNull().alias("ejected"), delay.alias("delay")).groupBy("ejected").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("delay"), 4).alias("median_delay"))
-
-
-@query(f"""WITH {PAF}, target AS (SELECT DISTINCT 's' || (n_nationkey % 5) AS rf_name FROM nation WHERE n_regionkey = 1),
-y AS (SELECT paf.*, t.rf_name IS NOT NULL AS on_target, o_orderstatus AS state FROM paf LEFT JOIN target t USING (rf_name) JOIN orders ON o_orderkey = qr_name WHERE is_mapped)
-SELECT state, CAST(sum(CASE WHEN on_target THEN qr_en ELSE 0 END) AS BIGINT) AS on_bp, CAST(sum(qr_en) AS BIGINT) AS total_bp, round(sum(CASE WHEN on_target THEN qr_en ELSE 0 END) / 1e6 / 0.25, 4) AS on_mbp, max(rf_st / 4000 + qr_len / 450) AS duration FROM y GROUP BY state""")
-def yield_by_state(spark, sf):
-    """On-target and total bases by read state, scaled by the simulation's speed."""
-    target = A.table(spark, sf, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("s"), (F.col("n_nationkey") % 5).cast("string")).alias("t_name")).distinct()
-    o = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("qr_name"), F.col("o_orderstatus").alias("state"))
-    y = A.paf(spark, sf).filter("is_mapped").join(F.broadcast(target), F.col("rf_name") == F.col("t_name"), "left").join(o, "qr_name")
-    on = F.sum(F.when(F.col("t_name").isNotNull(), F.col("qr_en")).otherwise(0))
-    return y.groupBy("state").agg(on.alias("on_bp"), F.sum("qr_en").alias("total_bp"), F.round(on / 1e6 / 0.25, 4).alias("on_mbp"), F.max(F.col("rf_st") / 4000 + F.col("qr_len") / 450).alias("duration"))
+    """Seconds between an ejected read's decision and its end, never under 0."""
+    return yields.eject_delays(_summary(spark, sf), _tagged(A.paf(spark, sf).filter("rn = 1"))).select("read_id", F.round("delay", 6).alias("delay"))
+
+
+@query(f"WITH {_RUN}, d AS (SELECT greatest(0, duration - template_start - (qr_len / 450 + ej)) AS delay FROM s JOIN c ON qr_name = read_id WHERE ej IS NOT NULL) SELECT count(*) AS ejected, round(median(delay), 6) AS median_delay FROM d")
+def median_eject_delay(spark, sf):
+    return yields.median_delay(yields.eject_delays(_summary(spark, sf), _tagged(A.paf(spark, sf).filter("rn = 1")))).select("ejected", F.round("median_delay", 6).alias("median_delay"))
+
+
+@query(f"WITH {_RUN} SELECT round(max(st / 4000 + qr_len / 450), 6) AS seconds FROM c")
+def run_seconds(spark, sf):
+    return yields.run_seconds(_tagged(A.paf(spark, sf).filter("rn = 1"))).select(F.round("seconds", 6).alias("seconds"))
+
+
+_NAMES = "('s1', 's3')"
+_SUMS = "SELECT round({on} / 0.25, 6) AS unc_on_bp, round(({on} + {off}) / 0.25, 6) AS unc_total_bp, round(con, 6) AS cnt_on_bp, round(con + coff, 6) AS cnt_total_bp FROM ctl, unc"
+
+
+def _genome(name: str, deplete: bool) -> str:
+    return f"""WITH {_RUN}, t AS (SELECT DISTINCT qr_name FROM paf WHERE rn > 1 AND rn % 3 <> 0 AND is_mapped AND rf_name {'NOT IN' if deplete else 'IN'} {_NAMES}), x AS (SELECT s.*, t.qr_name IS NOT NULL AS target FROM s LEFT JOIN t ON t.qr_name = read_id),
+ctl AS (SELECT sum(CASE WHEN target THEN bases ELSE 0 END) / 1e6 AS con, sum(CASE WHEN target THEN 0 ELSE bases END) / 1e6 AS coff FROM x),
+g AS (SELECT target, CASE WHEN ej IS NULL THEN bases ELSE least(bases, bases / template_duration * (qr_len / 450 + coalesce(dl, 0) / 4000 + ej - template_start)) END AS got FROM x JOIN c ON c.qr_name = read_id),
+unc AS (SELECT sum(CASE WHEN target THEN got ELSE 0 END) / 1e6 AS uon, sum(CASE WHEN target THEN 0 ELSE got END) / 1e6 AS uoff FROM g) """ + _SUMS.format(on="uon", off="uoff")
+
+
+def _yield(spark, sf, deplete: bool):
+    paf, calls = A.paf(spark, sf), A.paf(spark, sf).filter("rn = 1")
+    names = A.table(spark, sf, "region").filter("r_regionkey IN (1, 3)").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("name"))
+    targets = yields.target_reads(_tagged(paf.filter("rn > 1")), names, deplete)
+    out = yields.genome_yield(_summary(spark, sf), _tagged(calls), targets, 0.25)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(_genome("genome_yield", False))
+def genome_yield(spark, sf):
+    """Millions of bases on target and in all, of the run and its control; targets by a read's primary alignments."""
+    return _yield(spark, sf, False)
+
+
+@query(_genome("depletion_yield", True))
+def depletion_yield(spark, sf):
+    return _yield(spark, sf, True)
+
+
+@query(f"""WITH {_RUN}, {BED}, t AS (SELECT name, sum(en - st) AS tb FROM bed WHERE chrom % 2 = 0 GROUP BY name), x AS (SELECT s.*, coalesce(tb, 0) AS bp FROM s LEFT JOIN t ON name = read_id), ctl AS (SELECT sum(bp) / 1e6 AS con, sum(bases - bp) / 1e6 AS coff FROM x),
+g AS (SELECT *, bases / template_duration * (qr_len / 450 + coalesce(dl, 0) / 4000 + ej - template_start) AS kept FROM x JOIN c ON qr_name = read_id),
+unc AS (SELECT sum(CASE WHEN ej IS NULL THEN bp WHEN bp > 0 THEN kept ELSE 0 END) / 1e6 AS uon, sum(CASE WHEN ej IS NULL THEN bases - bp WHEN bp > 0 THEN 0 ELSE kept END) / 1e6 AS uoff FROM g) """ + _SUMS.format(on="uon", off="uoff"))
+def bed_yield(spark, sf):
+    """The same by the bases of each read that an interval list has on target."""
+    out = yields.bed_yield(_summary(spark, sf), _tagged(A.paf(spark, sf).filter("rn = 1")), A.bed(spark, sf).filter("chrom % 2 = 0"), 0.25)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(f"WITH {_RUN} SELECT qr_name, string_agg(CAST(rf_st AS VARCHAR), ',' ORDER BY rn) AS starts FROM paf GROUP BY qr_name")
+def tags_by_read(spark, sf):
+    """A tag's values of all records of a read, in order."""
+    return pafstats.tags_by_read(_tagged(A.paf(spark, sf)), "st", "rn").select("qr_name", F.array_join("values", ",").alias("starts"))
+
+
+@query(f"WITH {_RUN} SELECT qr_name, concat(CASE WHEN dl IS NULL THEN '' ELSE chr(9) || 'dl:i:' || dl END, chr(9), 'st:i:', st, chr(9), 'tp:Z:P') AS tags, st AS n FROM c WHERE ej IS NULL")
+def written_tags(spark, sf):
+    """Tags as text behind a line, and one read back as a number."""
+    df = _tagged(A.paf(spark, sf).filter("rn = 1 AND NOT is_fwd"))
+    number = pafstats.typed(pafstats.tag("st"), F.element_at("tags", "st")["type"])["i"]
+    return df.select("qr_name", pafstats.format_tags(F.col("tags")).alias("tags"), number.alias("n"))
 
 
 @query(f"WITH {BED} SELECT name, CAST(sum(en - st) AS BIGINT) AS bp FROM bed GROUP BY name")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandflow.functions import curves
 from strandflow.functions import intervals as V
+from strandflow.operators import paths, presets, simulate
 from strandflow.operators import runprofile as R
 from strandflow.plans import adapters as A
 from strandflow.plans.adapters import BED, SUMMARY, query
+from strandflow.sources import chunks
 from strandflow.streaming import realtime
 
 
@@ -40,60 +43,44 @@ def interval_functions(spark, sf):
     return p.select("id", "a1", "b1", "a2", "b2", V.length(*b).alias("len_b"), V.intersects(a, b).alias("meet"), i[0].alias("i1"), i[1].alias("i2"), h[0].alias("h1"), h[1].alias("h2"), F.round(V.reciprocal_overlap(a, b), 4).alias("reciprocal"), F.size(V.split(a, b)).cast("long").alias("pieces"))
 
 
-@query("""WITH p AS (SELECT l_suppkey AS kmer, l_partkey AS st, l_partkey + CAST(l_quantity AS BIGINT) - 1 AS en FROM lineitem WHERE l_linenumber = 1), x AS (SELECT *, max(en) OVER (PARTITION BY kmer ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+@query("""WITH p AS (SELECT l_suppkey AS kmer, l_partkey AS st, l_partkey + CAST(l_quantity AS BIGINT) - 1 AS en FROM lineitem), x AS (SELECT *, max(en) OVER (PARTITION BY kmer ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
 g AS (SELECT kmer, coalesce(reach + 1, 0) AS gap_st, st - 1 AS gap_en FROM x UNION ALL SELECT kmer, max(en) + 1, 30000 FROM p GROUP BY kmer) SELECT kmer, gap_st, gap_en FROM g WHERE gap_st <= gap_en""")
 def range_gaps(spark, sf):
     """The parts of each k-mer's range [0, 30000] that no path's range covers."""
-    return _gaps(A.table(spark, sf, "lineitem").filter("l_linenumber = 1"))
-
-
-@query(A.ORACLES["range_gaps"].replace(" WHERE l_linenumber = 1", ""))
-def range_gaps_all(spark, sf):
-    """The gaps between all paths (``range_gaps`` takes the first path of each order only)."""
-    return _gaps(A.table(spark, sf, "lineitem"))
-
-
-def _gaps(li):
-    p = li.select(F.col("l_suppkey").alias("kmer"), F.col("l_partkey").alias("st"), (F.col("l_partkey") + F.col("l_quantity").cast("long") - 1).alias("en"), F.lit(0).cast("long").alias("lo"), F.lit(30000).cast("long").alias("hi"))
+    p = A.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("kmer"), F.col("l_partkey").alias("st"), (F.col("l_partkey") + F.col("l_quantity").cast("long") - 1).alias("en"), F.lit(0).cast("long").alias("lo"), F.lit(30000).cast("long").alias("hi"))
     return V.gaps(p, ["kmer"], "st", "en", "lo", "hi")
 
 
 @query("SELECT l_partkey AS lo, l_suppkey AS hi, l_orderkey AS path, l_extendedprice AS prob FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_extendedprice DESC, l_orderkey DESC, l_linenumber DESC) = 1")
 def path_dedupe(spark, sf):
     """Of paths with one range the likeliest."""
-    best = F.max(F.struct(F.col("l_extendedprice").alias("prob"), F.col("l_orderkey").alias("path"), "l_linenumber")).alias("b")
-    return A.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("lo"), F.col("l_suppkey").alias("hi")).agg(best).select("lo", "hi", "b.path", "b.prob")
+    p = A.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("lo"), F.col("l_suppkey").alias("hi"), F.col("l_orderkey").alias("path"), F.col("l_extendedprice").alias("prob"), "l_linenumber")
+    return paths.likeliest(p, ["lo", "hi"], "prob", ["path", "l_linenumber"]).drop("l_linenumber")
 
 
 @query("""WITH k AS (SELECT p_partkey AS kmer, p_retailprice AS prob FROM part), used AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) SELECT kmer, prob FROM k WHERE prob >= 950 AND kmer NOT IN (SELECT l_partkey FROM used)""")
 def fresh_sources(spark, sf):
     """K-mers that pass the source threshold and have no path."""
-    used = A.table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("u")).distinct()
-    k = A.table(spark, sf, "part").select(F.col("p_partkey").alias("kmer"), F.col("p_retailprice").alias("prob"))
-    return k.filter("prob >= 950").join(used, F.col("kmer") == F.col("u"), "left_anti")
+    used = A.table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("kmer"))
+    return paths.fresh_sources(A.table(spark, sf, "part").select(F.col("p_partkey").alias("kmer"), F.col("p_retailprice").alias("prob")), used, 950)
 
 
 @query("""WITH c AS (SELECT l_orderkey AS read_id, CAST(l_quantity AS BIGINT) AS len, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS rk FROM lineitem),
 g AS (SELECT read_id, count(*) AS n, max(len) AS top, max(CASE WHEN rk = 2 THEN len END) AS second, avg(len) AS mean FROM c GROUP BY read_id) SELECT read_id, top, second, n >= 2 AND top >= 25 AND (top / mean >= 6.0 OR top / second >= 1.85) AS confident FROM g""")
 def seed_confidence(spark, sf):
     """Whether a read's longest cluster stands out from the mean or from the second."""
-    c = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_quantity").cast("long").alias("len"))
-    tops = F.slice(F.sort_array(F.collect_list("len"), asc=False), 1, 2)
-    g = c.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), tops.alias("t"), F.avg("len").alias("mean"))
-    top, second = F.get("t", 0), F.get("t", 1)
-    return g.select("read_id", top.alias("top"), second.alias("second"), ((F.col("n") >= 2) & (top >= 25) & ((top / F.col("mean") >= 6.0) | (top / second >= 1.85))).alias("confident"))
+    g = paths.top_two(A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_quantity").cast("long").alias("len")), "read_id", "len")
+    return g.select("read_id", "top", "second", paths.confident(F.col("n"), F.col("top"), F.col("second"), F.col("mean")).alias("confident"))
 
 
 @query("""WITH s AS (SELECT user_id AS read_id, event_id AS seed, CAST(floor(value * 10) AS BIGINT) AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 12 AS e FROM events), p AS (SELECT b.read_id, b.seed, a.seed AS prev, b.r - a.r AS dr, b.e - a.e AS de FROM s a JOIN s b ON a.read_id = b.read_id AND a.e < b.e AND b.r - a.r BETWEEN 0 AND b.e - a.e AND b.r - a.r >= (b.e - a.e) // 12)
 SELECT read_id, seed, arg_max(prev, (-de, prev)) AS prev, count(*) AS n FROM p GROUP BY read_id, seed""")
 def band_join_seeds(spark, sf):
-    """Each seed with the latest earlier one that lies in its band of place against event; a band of reference places is a bin join."""
+    """Each seed with the latest earlier one that lies in its band of place against event, by bins of place."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     s = A.table(spark, sf, "events").select(F.col("user_id").alias("read_id"), F.col("event_id").alias("seed"), F.floor(F.col("value") * 10).alias("r"), (F.row_number().over(w) * 12).cast("long").alias("e"))
-    a = s.select("read_id", F.col("seed").alias("prev"), F.col("r").alias("r1"), F.col("e").alias("e1"))
-    dr, de = F.col("r") - F.col("r1"), F.col("e") - F.col("e1")
-    p = s.join(a, "read_id").filter((de > 0) & (dr >= 0) & (dr <= de) & (dr >= F.floor(de / 12)))
-    return p.groupBy("read_id", "seed").agg(F.max_by("prev", F.struct(-de, F.col("prev"))).alias("prev"), F.count(F.lit(1)).alias("n"))
+    longest = s.agg(F.max("e")).first()[0] or 1
+    return paths.earlier_seeds(s, longest)
 
 
 @query(f"WITH {SUMMARY} SELECT channel, read_id, coalesce(lag(en) OVER w, 0) AS gap_st, st - coalesce(lag(en) OVER w, 0) AS gap_len FROM summ WINDOW w AS (PARTITION BY channel ORDER BY st, read_id)")
@@ -150,45 +137,52 @@ def scans_removed(spark, sf):
     return R.remove_scans(s, scans)
 
 
-_ALLOC = """n AS (SELECT user_id AS channel, count(*) AS n FROM events GROUP BY 1), s AS (SELECT *, 5000 * (n / (SELECT sum(n) FROM n)) - 20 AS remain FROM n), o AS (SELECT *, greatest(remain, 0) AS ov FROM s), t AS (SELECT *, CAST(round_even(coalesce(20 + (SELECT sum(remain) FROM o) * ov / (SELECT nullif(sum(ov), 0) FROM o), remain + 20), 0) AS BIGINT) AS target FROM o),
-e AS (SELECT *, 5000 - (SELECT sum(target) FROM t) AS err, row_number() OVER (ORDER BY channel DESC) AS back FROM t), a AS (SELECT channel, n, target + CASE WHEN back <= abs(err) THEN CAST(sign(err) AS BIGINT) ELSE 0 END AS target FROM e)"""
+def _alloc(total: str, least: int) -> str:
+    return f"""n AS (SELECT user_id AS channel, count(*) AS n FROM events GROUP BY 1), s AS (SELECT *, {total} * (n / (SELECT sum(n) FROM n)) - {least} AS remain FROM n), o AS (SELECT *, greatest(remain, 0) AS ov FROM s), t AS (SELECT *, CAST(round_even(coalesce({least} + (SELECT sum(remain) FROM o) * ov / (SELECT nullif(sum(ov), 0) FROM o), remain + {least}), 0) AS BIGINT) AS target FROM o),
+e AS (SELECT *, {total} - (SELECT sum(target) FROM t) AS err, row_number() OVER (ORDER BY channel DESC) AS back FROM t), a AS (SELECT channel, n, target + CASE WHEN back <= abs(err) THEN CAST(sign(err) AS BIGINT) ELSE 0 END AS target FROM e)"""
+
+
+_ALLOC, _EVEN = _alloc("5000", 20), _alloc("(SELECT count(*) FROM events)", 62)
+
+
+def _targets(spark, sf, total: int, least: int):
+    n = A.table(spark, sf, "events").groupBy(F.col("user_id").alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+    return R.allocation(n, total, least)
 
 
 @query(f"WITH {_ALLOC} SELECT channel, n, CAST(target AS BIGINT) AS target FROM a")
 def alloc_targets(spark, sf):
-    n = A.table(spark, sf, "events").groupBy(F.col("user_id").alias("channel")).agg(F.count(F.lit(1)).alias("n"))
-    return R.allocation(n, 5000, 20)
+    return _targets(spark, sf, 5000, 20)
 
 
-@query(f"""WITH {_ALLOC}, x AS (SELECT channel, n - target AS more, unnest(range(1, n - target + 1)) AS k FROM a WHERE n > target), y AS (SELECT channel, unnest(range(1, target - n + 1)) AS k FROM a WHERE n < target),
+@query(f"""WITH {_EVEN}, x AS (SELECT channel, n - target AS more, unnest(range(1, n - target + 1)) AS k FROM a WHERE n > target), y AS (SELECT channel, unnest(range(1, target - n + 1)) AS k FROM a WHERE n < target),
 p AS (SELECT row_number() OVER (ORDER BY more DESC, channel, k) AS slot, channel AS from_channel FROM x), q AS (SELECT row_number() OVER (ORDER BY channel, k) AS slot, channel AS to_channel FROM y) SELECT slot, from_channel, to_channel FROM p JOIN q USING (slot)""")
 def donated_reads(spark, sf):
-    return R.donate(alloc_targets(spark, sf)).select(F.col("slot").cast("long").alias("slot"), "from_channel", "to_channel")
+    """Reads over the targets of channels go to channels under theirs; all reads are dealt out, 62 at least to each channel."""
+    return R.donate(_targets(spark, sf, A.table(spark, sf, "events").count(), 62)).select(F.col("slot").cast("long").alias("slot"), "from_channel", "to_channel")
 
 
 @query("""WITH k AS (SELECT n_nationkey AS x, n_nationkey * n_nationkey / 10 AS y FROM nation), q AS (SELECT l_orderkey AS id, l_linenumber AS ln, l_quantity / 2 AS x FROM lineitem), j AS (SELECT id, ln, q.x, (SELECT max(k.x) FROM k WHERE k.x <= q.x) AS x0, (SELECT min(k.x) FROM k WHERE k.x >= q.x) AS x1 FROM q)
 SELECT id, ln, round(CASE WHEN x1 IS NULL THEN k0.y WHEN x0 IS NULL THEN k1.y WHEN x0 = x1 THEN k0.y ELSE k0.y + (k1.y - k0.y) * (j.x - x0) / (x1 - x0) END, 4) AS y FROM j LEFT JOIN k k0 ON k0.x = x0 LEFT JOIN k k1 ON k1.x = x1""")
 def interpolated(spark, sf):
-    """Linear interpolation between knots, held at the ends: the knots before and after come from windows over the union."""
-    k = A.table(spark, sf, "nation").select(F.lit(0).alias("part"), F.col("n_nationkey").cast("double").alias("x"), (F.col("n_nationkey") * F.col("n_nationkey") / 10).alias("y"))
-    knots = k.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))  # a curve's knots are few
+    """Linear interpolation between knots, held at the ends."""
+    knots = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("x"), (F.col("n_nationkey") * F.col("n_nationkey") / 10).alias("y"))
     q = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), (F.col("l_quantity") / 2).alias("x"))
-    j = q.crossJoin(F.broadcast(knots)).withColumns({"a": F.element_at(F.filter("k", lambda s: s["x"] <= F.col("x")), -1), "b": F.get(F.filter("k", lambda s: s["x"] >= F.col("x")), 0)})
-    lerp = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col("x") - F.col("a.x")) / F.nullif(F.col("b.x") - F.col("a.x"), F.lit(0.0))
-    return j.select("id", "ln", F.round(F.when(F.col("b").isNull(), F.col("a.y")).when(F.col("a").isNull(), F.col("b.y")).otherwise(F.coalesce(lerp, "a.y")), 4).alias("y"))
+    return curves.interpolate(q, "x", knots).select("id", "ln", F.round("y", 4).alias("y"))
 
 
-@query("SELECT i, round(0.5 + pow(i / 99, 2.5) * (0.98 - 0.5), 6) AS y, i / 99 * 64 AS x FROM range(100) AS r(i)")
+@query("SELECT s_suppkey AS id, i, round(0.5 + pow(i / 99, 2.5) * (s_nationkey / 50), 6) AS y FROM supplier, range(100) AS r(i)")
 def power_curve(spark, sf):
-    t = F.col("id") / 99
-    return spark.range(100).select(F.col("id").alias("i"), F.round(0.5 + F.pow(t, F.lit(2.5)) * (0.98 - 0.5), 6).alias("y"), (t * 64).alias("x"))
+    """A curve of a hundred steps for each supplier."""
+    df = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("i"))
+    return df.select("id", "i", F.round(curves.power_curve(F.col("i") / 99, F.lit(0.5), 0.5 + F.col("s_nationkey") / 50, 2.5), 6).alias("y"))
 
 
 @query("SELECT l_returnflag AS preset, round(exp(sum(ln(1 - l_tax / 1000))), 6) AS prob, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS speed FROM lineitem GROUP BY 1")
 def preset_speed(spark, sf):
     """A preset's overall probability (a product) and speed (a weighted mean)."""
-    li = A.table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("preset")).agg(F.round(F.exp(F.sum(F.log(1 - F.col("l_tax") / 1000))), 6).alias("prob"), F.round(F.sum(F.col("l_quantity") * F.col("l_extendedprice")) / F.sum("l_quantity"), 4).alias("speed"))
+    li = A.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("preset"), (1 - F.col("l_tax") / 1000).alias("share"), F.col("l_quantity").alias("weight"), F.col("l_extendedprice").alias("matches"))
+    return presets.overall(li, "preset").select("preset", F.round("prob", 6).alias("prob"), F.round("speed", 4).alias("speed"))
 
 
 @query(f"WITH {SUMMARY}, l AS (SELECT channel, arg_max(mux, (st, read_id)) AS mux FROM summ GROUP BY channel), n AS (SELECT mux, count(*) AS n FROM l GROUP BY mux), t AS (SELECT mux, n, (SELECT sum(n) FROM n WHERE mux <> 0) AS used FROM n ORDER BY n DESC, mux DESC LIMIT 1) SELECT mux, round(n / used, 4) AS share, n / used > 0.99 AS scanning FROM t")
@@ -215,13 +209,36 @@ def session_windows(spark, sf):
 
 @query()
 def channel_outcomes(spark, sf):
-    """Read outcomes of the channel state machine over chunks made from signals."""
-    from strandflow.functions import signal as S
+    """Read outcomes of the live loop over chunks made from the vectors' signals."""
+    r = A.reads(spark, sf).withColumns({"number": F.col("read_id"), "start_sample": F.col("read_id") * 64})
+    return realtime.run_channels(chunks.from_reads(r, 16), simulate.made_mapper, "made", max_chunks=3)
 
-    r = A.reads(spark, sf)
-    c = r.select("channel", F.col("read_id").alias("number"), F.explode(S.chunks(F.size("signal"), 10, tail=True)).alias("at"), "signal")
-    chunks = c.select(F.col("channel").cast("long").alias("channel"), "number", (F.col("number") * 64 + F.col("at")).alias("start_sample"), F.slice("signal", (F.col("at") + 1).cast("int"), 10).alias("samples"))
-    return realtime.run_channels(chunks)
+
+@query(f"WITH {SUMMARY}, b AS (SELECT DISTINCT (st // 43200000000) * 43200000000 AS bound FROM summ), sp AS (SELECT row_number() OVER (ORDER BY bound) - 1 AS scan, bound AS lo, lead(bound) OVER (ORDER BY bound) AS hi FROM b), g AS (SELECT channel, read_id, coalesce(lag(en) OVER w, 0) AS gap_st, st - coalesce(lag(en) OVER w, 0) AS gap_len FROM summ WINDOW w AS (PARTITION BY channel ORDER BY st, read_id)) SELECT channel, read_id, scan FROM g JOIN sp ON gap_st > lo AND gap_st + gap_len <= hi")
+def gaps_in_scans(spark, sf):
+    """Gaps by the half day that holds them whole."""
+    s = A.summary(spark, sf)
+    half = F.lit(43_200_000_000)
+    bounds = s.select((F.floor(F.col("st") / half) * half).alias("bound")).distinct()
+    return R.gaps_by_scan(R.channel_gaps(s), bounds).select("channel", "read_id", F.col("scan").cast("long").alias("scan"))
+
+
+@query("WITH i AS (SELECT s_suppkey AS channel, r.i AS i, CAST(0 AS DOUBLE) AS st, CAST(s_nationkey + r.i AS DOUBLE) AS en FROM supplier, range(4) AS r(i)), m AS (SELECT i, max(en - st) AS long FROM i GROUP BY i), b AS (SELECT i, coalesce(sum(long) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (row_number() OVER (ORDER BY i) - 1) * 90 AS begin FROM m) SELECT channel, i, begin AS st, begin + en - st AS en FROM i JOIN b USING (i)")
+def scan_pauses(spark, sf):
+    """Four rounds of active intervals a channel, with a scan of 90 seconds after each."""
+    s = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("channel"), "s_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
+    return R.scan_pauses(s.select("channel", "i", F.lit(0.0).alias("st"), (F.col("s_nationkey") + F.col("i")).cast("double").alias("en")), 90.0)
+
+
+@query("SELECT CAST(floor(event_id / 100) AS BIGINT) AS tick, user_id % 4 AS worker, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
+def active_reads(spark, sf):
+    return realtime.active_reads(A.table(spark, sf, "events").select(F.col("user_id").alias("channel"), F.col("event_id").alias("start_sample")), 4, 100)
+
+
+@query("SELECT CAST(l_linenumber AS BIGINT) AS evt, 's' || (l_suppkey % 5) AS rf, max(CAST(l_quantity AS BIGINT)) AS length FROM lineitem GROUP BY 1, 2")
+def longest_paths(spark, sf):
+    p = A.table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("evt"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("rf"), F.col("l_quantity").cast("long").alias("length"))
+    return paths.longest_paths(p)
 
 
 @query()

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandflow.functions import curves
 from strandflow.functions import kmers as K
 from strandflow.operators import index as I
-from strandflow.operators import masking
+from strandflow.operators import masking, simulate
+from strandflow.operators.mapper import map_reads, path_table, seed_table
 from strandflow.plans import adapters as A
 from strandflow.plans.adapters import ITEMS, SEQUENCES, query
+from strandflow.sources import chunks
+from strandflow.streaming import realtime
 
 _CODE = "CAST(list_sum(list_transform(range(1, {k} + 1), lambda j: (strpos('ACGT', substr({s}, j, 1)) - 1) * CAST(pow(4, {k} - j) AS BIGINT))) AS BIGINT)"
 
@@ -31,21 +35,11 @@ def top_kmer(spark, sf):
     return masking.most_frequent(masking.kmer_counts(A.sequences(spark, sf), 10))
 
 
-@query(f"""WITH {SEQUENCES}, f AS (SELECT doc_id, substr(seq, 1, 5) AS s FROM seqs WHERE length(seq) >= 5), r AS (SELECT *, reverse(translate(s, 'ACGT', 'TGCA')) AS rc FROM f)
-SELECT doc_id, {code('s', 5)} AS code, s AS decoded, {code("translate(s, 'ACGT', 'TGCA')", 5)} AS comp, {code('rc', 5)} AS revcomp, rc AS revcomp_str, CAST(strpos('ACGT', substr(s, 1, 1)) - 1 AS BIGINT) AS head,
-  CAST(strpos('ACGT', substr(s, 3, 1)) - 1 AS BIGINT) AS third, {code("substr(s, 2, 4) || 'G'", 5)} AS next_g, CAST(1024 AS BIGINT) AS n_kmers FROM r""")
-def kmer_functions(spark, sf):
-    df = A.sequences(spark, sf).filter(F.char_length("seq") >= 5).withColumn("code", K.at(F.col("seq"), 0, 5))
-    c = F.col("code")
-    rc = K.reverse_complement(F.substring("seq", 1, 5))
-    return df.select("doc_id", "code", K.decode(c, 5).alias("decoded"), K.comp(c, 5).alias("comp"), K.revcomp(c, 5).alias("revcomp"), rc.alias("revcomp_str"), K.head(c, 5).alias("head"), K.base_at(c, 2, 5).alias("third"), K.neighbor(c, 2, 5).alias("next_g"), F.lit(K.kmer_count(5)).cast("long").alias("n_kmers"))
-
-
 @query(f"""WITH {SEQUENCES}, {windows(5)}, r AS (SELECT doc_id, i, kmer AS s, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM km)
 SELECT doc_id, i, {code('s', 5)} AS code, s AS decoded, {code("translate(s, 'ACGT', 'TGCA')", 5)} AS comp, {code('rc', 5)} AS revcomp, rc AS revcomp_str, CAST(strpos('ACGT', substr(s, 1, 1)) - 1 AS BIGINT) AS head,
   CAST(strpos('ACGT', substr(s, 3, 1)) - 1 AS BIGINT) AS third, {code("substr(s, 2, 4) || 'G'", 5)} AS next_g, CAST(1024 AS BIGINT) AS n_kmers FROM r""")
-def kmer_functions_all(spark, sf):
-    """The k-mer functions of every 5-mer of each text (``kmer_functions`` takes the first one only)."""
+def kmer_functions(spark, sf):
+    """The k-mer functions of every 5-mer of each text."""
     df = A.sequences(spark, sf).select("doc_id", F.posexplode(K.kmers(F.col("seq"), 5)).alias("i", "s")).withColumn("code", K.encode(F.col("s")))
     c = F.col("code")
     return df.select("doc_id", F.col("i").cast("long").alias("i"), "code", K.decode(c, 5).alias("decoded"), K.comp(c, 5).alias("comp"), K.revcomp(c, 5).alias("revcomp"), K.reverse_complement(F.col("s")).alias("revcomp_str"), K.head(c, 5).alias("head"), K.base_at(c, 2, 5).alias("third"), K.neighbor(c, 2, 5).alias("next_g"), F.lit(K.kmer_count(5)).cast("long").alias("n_kmers"))
@@ -118,32 +112,23 @@ def long_repeats(spark, sf):
 SELECT len, bin, n, round(n / sum(n) OVER (PARTITION BY len), 4) AS share FROM h""")
 def range_histogram(spark, sf):
     """Histogram of log2 match counts by match length, as shares of each length."""
-    from pyspark.sql import Window
-
     x = I.self_align(A.items(spark, sf), [1, 2, 3, 4, 5, 6], by="item_id")
-    h = x.groupBy("len", (F.char_length(F.bin("copies")) - 1).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return h.select("len", "bin", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("len")), 4).alias("share"))
+    return curves.shares(x, "len", (F.char_length(F.bin("copies")) - 1).cast("long")).withColumn("share", F.round("share", 4))
 
 
 @query("""WITH l AS (SELECT CAST(l_quantity AS BIGINT) AS len FROM lineitem), c AS (SELECT i, (SELECT count(*) FROM l WHERE len >= i) AS n FROM range(1, 51) AS r(i)) SELECT i AS len, n, n * 20 <= (SELECT count(*) FROM l) AS rare FROM c""")
 def survival_counts(spark, sf):
     """How many lengths reach each value, and where at most 5 % do."""
-    from pyspark.sql import Window
+    return curves.survival(A.table(spark, sf, "lineitem").select(F.col("l_quantity").cast("long").alias("q")), "q", 50)
 
-    n = A.table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("c"))
-    full = spark.range(1, 51).select(F.col("id").alias("len")).join(n, "len", "left").na.fill(0, ["c"])
-    at_least = F.sum("c").over(Window.orderBy(F.col("len").desc()))  # 50 rows
-    total = F.sum("c").over(Window.partitionBy())
-    return full.select("len", at_least.alias("n"), (at_least * 20 <= total).alias("rare"))
 
-
-_PRESET = "-10.07,-3.0415,-2.5317,-2.3586,-2.2707,-2.2677"
-
-
-@query(f"WITH v AS (SELECT string_split('{_PRESET}', ',') AS l) SELECT b AS bin, CAST(l[least(64 - b, 6)] AS DOUBLE) AS threshold FROM v, range(64) AS r(b)")
+@query("WITH v AS (SELECT n_nationkey AS preset, list_transform(range(1, n_nationkey % 7 + 2), lambda i: CAST(-10 - n_nationkey + i * 0.5 AS DOUBLE)) AS l FROM nation) SELECT preset, b AS bin, l[least(64 - b, len(l))] AS threshold FROM v, range(64) AS r(b)")
 def preset_thresholds(spark, sf):
-    one = spark.range(1).select(I.preset_thresholds(F.lit(_PRESET)).alias("t"))
-    return one.select(F.posexplode("t").alias("bin", "threshold")).select(F.col("bin").cast("long").alias("bin"), "threshold")
+    """Comma lists of one to seven thresholds, one a nation, to 64 bins."""
+    n = F.col("n_nationkey")
+    line = F.array_join(F.transform(F.sequence(F.lit(1), n % 7 + 1), lambda i: (-10 - n + i * 0.5).cast("double").cast("string")), ",")
+    t = A.table(spark, sf, "nation").select(n.alias("preset"), I.preset_thresholds(line).alias("t"))
+    return t.select("preset", F.posexplode("t").alias("bin", "threshold")).select("preset", F.col("bin").cast("long").alias("bin"), "threshold")
 
 
 @query("SELECT l_orderkey AS id, l_partkey AS len, CAST(63 - floor(log2(l_partkey)) AS BIGINT) AS bin FROM lineitem WHERE l_partkey > 0")
@@ -158,9 +143,56 @@ def locate_position(spark, sf):
     return I.locate(points, refs).select("id", "p", "name", "local")
 
 
+@query("""WITH refs AS (SELECT n_name AS name, CAST(n_nationkey * 400 AS BIGINT) AS off FROM nation WHERE n_nationkey < 20) SELECT s_suppkey AS id, off + s_suppkey % 300 AS p FROM supplier LEFT JOIN nation n ON n.n_nationkey = s_nationkey LEFT JOIN refs ON refs.name = n.n_name""")
+def concatenated_place(spark, sf):
+    """Places in named sequences to places in their concatenation; null for an unknown name."""
+    nation = A.table(spark, sf, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    refs = nation.filter("n_nationkey < 20").select("name", (F.col("n_nationkey") * 400).cast("long").alias("offset"), F.lit(300).cast("long").alias("len"))
+    points = A.table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_suppkey").alias("id"), "name", (F.col("s_suppkey") % 300).alias("local"))
+    return I.concatenated(points, refs).select("id", "p")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(seq, 1 + CAST(doc_id % 5 AS INT), CAST(doc_id % 50 AS INT)) ELSE reverse(translate(substr(seq, 1 + CAST(doc_id % 5 AS INT), CAST(doc_id % 50 AS INT)), 'ACGT', 'TGCA')) END AS part FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)")
+def subsequences(spark, sf):
+    """A span of each sequence, of the opposite strand for every second."""
+    st = F.col("doc_id") % 5
+    return A.sequences(spark, sf).select("doc_id", K.subsequence(F.col("seq"), st, st + F.col("doc_id") % 50, F.col("doc_id") % 2 == 0).alias("part"))
+
+
+@query(f"""WITH {ITEMS}, w AS (SELECT item_id, unnest(range(0, greatest(length(seq) - 2, 0))) AS i, seq FROM items), h AS (SELECT item_id, count(*) AS n FROM w WHERE substr(seq, i + 1, 3) = 'ATA' GROUP BY item_id)
+SELECT item_id, coalesce(n, 0) AS n FROM items LEFT JOIN h USING (item_id)""")
+def masked_hits(spark, sf):
+    return A.items(spark, sf).select("item_id", masking.masked_hits(F.col("seq"), F.lit("ATA")).alias("n"))
+
+
+def simulated_reads(spark, sf, bases: int = 200):
+    """A read of the made reference for each supplier, simulated in tasks from its key."""
+    return simulate.reads_by_key(A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("read_id")), bases)
+
+
 @query()
 def mapped_reads(spark, sf):
-    """Simulated reads of a made reference, mapped; the true start is in the result."""
-    from strandflow.operators.simulate import simulated_mapping
+    """A read for each supplier, simulated from a made reference of 10,000 bases and mapped; the true place is in the result."""
+    reads = simulated_reads(spark, sf)
+    mapped = map_reads(reads, simulate.made_mapper, "made").drop("mt")
+    return mapped.join(reads.select(F.col("read_id").alias("_r"), "true_st", "true_fwd"), F.col("read_id") == F.col("_r")).drop("_r")
+
 
-    return simulated_mapping(spark, 40)
+@query()
+def mapping_seeds(spark, sf):
+    """Every seed of those reads' searches."""
+    return seed_table(simulated_reads(spark, sf), simulate.made_mapper, "made")
+
+
+@query()
+def mapping_paths(spark, sf):
+    """How many paths each event of those reads left, and the longest."""
+    paths = path_table(simulated_reads(spark, sf, 60), simulate.made_mapper, "made")
+    return paths.groupBy("read_id", "evt").agg(F.count(F.lit(1)).alias("n"), F.max("full_len").alias("longest"))
+
+
+@query()
+def live_mapping(spark, sf):
+    """The same reads as chunks of channels (one a nation), mapped as they come."""
+    reads = simulated_reads(spark, sf, 400).withColumns({"channel": F.col("read_id") % 25, "number": F.col("read_id"), "start_sample": F.col("read_id") * 100_000})
+    return realtime.run_channels(chunks.from_reads(reads, 1000), simulate.made_mapper, "made", max_chunks=3)

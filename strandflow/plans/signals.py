@@ -47,8 +47,7 @@ def stall_mask_full(spark, sf):
 @query(f"SELECT read_id, i, row_number() OVER (PARTITION BY read_id ORDER BY i) - 1 AS masked_i FROM ({_mask(True)}) WHERE keep")
 def mask_index(spark, sf):
     """Place of each kept event among the kept ones."""
-    w = Window.partitionBy("read_id").orderBy("i")
-    return stall_mask_full(spark, sf).filter("keep").select("read_id", "i", (F.row_number().over(w) - 1).cast("long").alias("masked_i"))
+    return S.masked_index(stall_mask_full(spark, sf))
 
 
 @query(f"WITH {SIGNAL} SELECT read_id, i, round((x - avg(x) OVER w) * 12.83266 / stddev_pop(x) OVER w + 90.20827, 4) AS norm FROM sig WINDOW w AS (PARTITION BY read_id)")
@@ -61,21 +60,19 @@ def normalise_rolling(spark, sf):
     return S.normalise_rolling(A.signal_long(spark, sf), 90.20827, 12.83266, 20).select("read_id", "i", F.round("norm", 3).alias("norm"))
 
 
-@query(f"""WITH {SIGNAL}, {MODEL}, p AS (SELECT read_id, i, kmer, round(-(pow(x - level_mean, 2) / (2 * level_stdv * level_stdv)) - ln(sqrt(2 * pi() * level_stdv * level_stdv)), 4) AS p FROM sig, model WHERE i < 8)
+@query(f"""WITH {SIGNAL}, {MODEL}, p AS (SELECT read_id, i, kmer, round(-(pow(x - level_mean, 2) / (2 * level_stdv * level_stdv)) - ln(sqrt(2 * pi() * level_stdv * level_stdv)), 4) AS p FROM sig, model)
 SELECT read_id, i, arg_max(kmer, (p, -kmer)) AS kmer, max(p) AS p FROM p GROUP BY read_id, i""")
 def event_kmer_prob(spark, sf):
-    """The likeliest k-mer of each read's first eight events, over the whole (1024-row) model."""
-    df = A.signal_long(spark, sf).filter("i < 8").crossJoin(F.broadcast(M.rule_model(spark)))
-    df = df.withColumn("p", F.round(S.match_prob(F.col("x"), F.col("level_mean"), F.col("level_stdv")), 4))
-    return df.groupBy("read_id", "i").agg(F.max_by("kmer", F.struct(F.col("p"), -F.col("kmer"))).alias("kmer"), F.max("p").alias("p"))
+    """The likeliest k-mer of every event, over the whole (1024-row) model."""
+    return S.likeliest_kmer(A.signal_long(spark, sf), M.rule_model(spark))
 
 
-@query(A.ORACLES["event_kmer_prob"].replace(" WHERE i < 8", ""))
-def event_kmer_prob_all(spark, sf):
-    """The likeliest k-mer of every event (``event_kmer_prob`` takes the first eight of each read only)."""
-    near = S.near_likeliest(A.signal_long(spark, sf), M.rule_model(spark))
-    p = F.transform("near", lambda m: F.struct(F.round(S.match_prob(F.col("x"), m["level_mean"], m["level_stdv"]), 4).alias("p"), (-m["kmer"]).alias("back")))
-    return near.select("read_id", "i", F.array_max(p).alias("b")).select("read_id", "i", (-F.col("b.back")).alias("kmer"), "b.p")
+@query(f"""WITH {SIGNAL}, {MODEL}, p AS (SELECT read_id, i, exp(-(pow(x - level_mean, 2) / (2 * level_stdv * level_stdv)) - ln(sqrt(2 * pi() * level_stdv * level_stdv))) AS d FROM sig, model)
+SELECT read_id, i, round(sum(d), 6) AS density, count(*) AS n FROM p GROUP BY read_id, i""")
+def event_density(spark, sf):
+    """Every event's log density under every k-mer, summed up as densities."""
+    df = S.event_probs(A.signal_long(spark, sf), M.rule_model(spark))
+    return df.select("read_id", "i", F.round(F.aggregate("probs", F.lit(0.0), lambda t, x: t + F.exp(x)), 6).alias("density"), F.size("probs").cast("long").alias("n"))
 
 
 @query(f"WITH {MODEL} SELECT round(avg(level_mean), 4) AS mean, round(stddev_pop(level_mean), 4) AS stdv FROM model")
@@ -83,11 +80,11 @@ def model_stats(spark, sf):
     return M.model_stats(M.rule_model(spark)).select(F.round("mean", 4).alias("mean"), F.round("stdv", 4).alias("stdv"))
 
 
-@query("SELECT vec_id AS read_id, unnest(range(0, CAST(ceil(len(embedding) / 10) AS BIGINT))) * 10 AS st, CAST(floor(len(embedding) / 10) AS BIGINT) AS whole FROM embeddings")
+@query("SELECT vec_id AS read_id, unnest(range(0, CAST(ceil(len(embedding) / 10) AS BIGINT))) * 10 AS st, CAST(floor(len(embedding) / 10) AS BIGINT) AS whole, CAST(least(3, ceil((len(embedding) - 15) / 10)) AS BIGINT) AS some, vec_id * 64 + len(embedding) AS ends FROM embeddings")
 def chunk_layout(spark, sf):
     n = F.size("signal")
     r = A.reads(spark, sf)
-    return r.select("read_id", F.explode(S.chunks(n, 10, tail=True)).alias("st"), F.size(S.chunks(n, 10, tail=False)).cast("long").alias("whole"))
+    return r.select("read_id", F.explode(S.chunks(n, 10, tail=True)).alias("st"), F.size(S.chunks(n, 10, tail=False)).cast("long").alias("whole"), F.size(S.chunks(n, 10, tail=True, offset=15, most=3)).cast("long").alias("some"), S.read_end(F.col("read_id") * 64, F.col("signal")).alias("ends"))
 
 
 @query("SELECT vec_id AS read_id, unnest(range(0, 64)) AS i, round(CAST(unnest(embedding) AS DOUBLE) * 5 + 10, 4) AS x FROM embeddings")
@@ -116,7 +113,7 @@ def event_positions(spark, sf):
 
 @query(f"WITH {SIGNAL} SELECT read_id, CAST(i // 16 AS BIGINT) AS chunk, min(i) AS first_evt, max(i) AS last_evt FROM sig GROUP BY 1, 2")
 def chunk_event_bounds(spark, sf):
-    return A.signal_long(spark, sf).groupBy("read_id", F.floor(F.col("i") / 16).alias("chunk")).agg(F.min("i").alias("first_evt"), F.max("i").alias("last_evt"))
+    return S.chunk_bounds(A.signal_long(spark, sf), F.col("i"), 16)
 
 
 @query()

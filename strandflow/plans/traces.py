@@ -164,11 +164,11 @@ def preset_search(spark, sf):
 
 @query()
 def warped_spans(spark, sf):
-    """Signals warped onto reference spans of the items, on both strands."""
+    """Whole signals warped onto whole items, on both strands."""
     from strandflow.operators.dtw import warp_reads
 
     reads, refs = A.reads(spark, sf), A.items(spark, sf).select(F.col("item_id").cast("string").alias("name"), "seq")
     n = A.table(spark, sf, "benchmark").agg(F.max("item_id") + 1).first()[0] or 1
-    queries = reads.select(F.col("read_id").cast("string").alias("rd_name"), F.lit(4).alias("rd_st"), F.lit(0).alias("rd_en"), (F.col("read_id") % n).cast("string").alias("rf_name"), F.lit(2).alias("rf_st"), F.lit(20).alias("rf_en"), F.when(F.col("read_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    queries = reads.select(F.col("read_id").cast("string").alias("rd_name"), F.lit(0).alias("rd_st"), F.lit(0).alias("rd_en"), (F.col("read_id") % n).cast("string").alias("rf_name"), F.lit(0).alias("rf_st"), F.lit(1 << 30).alias("rf_en"), F.when(F.col("read_id") % 2 == 0, "+").otherwise("-").alias("strand"))
     levels = 60 + (np.arange(1024) * 389 % 1024) * (60 / 1024)
     return warp_reads(reads, queries, refs, levels, by_event=False)

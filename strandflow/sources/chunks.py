@@ -26,3 +26,8 @@ def write_rounds(chunks: DataFrame, path: str, round_samples: int) -> None:
 def stream(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
     """The chunks of a folder as they come, at most ``files`` a trigger."""
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
+
+
+def emitted(chunks: DataFrame, tick: int) -> DataFrame:
+    """Chunks with the tick (a stretch of ``tick`` samples of run time) in which a device hands them over: the one that their last sample falls before the end of."""
+    return chunks.withColumn("tick", F.ceil((F.col("start_sample") + F.size("samples")) / tick))

@@ -12,12 +12,18 @@ SUMMARY_FIELDS = ["channel", "start_time", "duration", "mux", "read_id", "templa
 
 
 def read_paf(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Alignment records; the first ``most`` in the order of the files and their lines, if given."""
     lines = spark.read.text(path)
-    return pafstats.parse(lines if most is None else lines.filter(~F.col("value").startswith("#")).limit(most))
+    if most is not None:
+        place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        lines = lines.filter(~F.col("value").startswith("#")).select("value", *[c.alias(f"_{i}") for i, c in enumerate(place)]).orderBy("_0", "_1", "_2").limit(most).select("value")
+    return pafstats.parse(lines)
 
 
-def write_paf(df: DataFrame, path: str) -> None:
-    df.select(pafstats.format_line().alias("value")).write.text(path)
+def write_paf(df: DataFrame, path: str, stars: int = 9) -> None:
+    """Records as lines, with their ``tags`` (a map of name to type and value) if they have that column."""
+    line = pafstats.format_line(stars)
+    df.select((F.concat(line, pafstats.format_tags(F.col("tags"))) if "tags" in df.columns else line).alias("value")).write.text(path)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -53,6 +59,15 @@ def write_presets(df: DataFrame, path: str) -> None:
     df.select("name", F.array_join(F.transform("thresholds", lambda x: x.cast("string")), ",").alias("list"), "prob", "speed").write.csv(path, sep="\t")
 
 
+def pick_preset(presets: DataFrame, name: str = "") -> list[float]:
+    """The thresholds of a preset; of no name, those of the file's last line."""
+    rows = presets.withColumn("_i", F.monotonically_increasing_id())
+    found = (rows.filter(F.col("name") == name) if name else rows).orderBy(F.col("_i").desc()).first()
+    if found is None:
+        raise ValueError(f"no preset {name!r}")
+    return list(found.thresholds)
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Sequence names and places of an index annotation: a header, then two lines a sequence (name line; offset, length, holes)."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "line")).filter("i > 0")

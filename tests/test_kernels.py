@@ -1,5 +1,7 @@
 """Kernels against plain restatements, simulated truth and properties."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -8,9 +10,10 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import intervals, kmers
 from strandflow.functions import signal as S
-from strandflow.operators import index, masking, presets, runprofile, simulate, traces
-from strandflow.operators.dtw import DtwConfig, warp
+from strandflow.operators import index, masking, pafstats, presets, runprofile, simulate, traces, yields
+from strandflow.operators.dtw import EVENT_COLUMNS, EVENT_GLOBAL, EVENT_ROWS, DtwConfig, difference, unlikeliness, warp, warp_score
 from strandflow.operators.index import FmIndex
+from strandflow.operators.mapper import event_table, map_reads, path_table, seed_table
 from strandflow.operators.segment import boundaries, events, statistic
 
 DNA = st.text("ACGT", min_size=1, max_size=60)
@@ -82,10 +85,123 @@ def test_warping_against_plain_loops(free):
 
 
 def test_simulated_reads_map_home(spark):
-    got = simulate.simulated_mapping(spark, 40, bases=500).toPandas()
-    mapped = got[got.is_mapped]
-    home = (mapped.is_fwd == mapped.true_fwd) & (mapped.rf_st < mapped.true_st + 500) & (mapped.rf_en > mapped.true_st)
-    assert len(mapped) >= 0.85 * len(got) and home.mean() >= 0.95
+    keys = spark.range(40).select(F.col("id").alias("read_id"))
+    reads = simulate.reads_by_key(keys, 400)
+    got = {r.read_id: r for r in map_reads(reads, simulate.made_mapper, "made-in-tests").collect()}
+    true = {r.read_id: r for r in reads.select("read_id", "true_st", "true_fwd").collect()}
+    mapped = [r for r in got.values() if r.is_mapped]
+    home = [r for r in mapped if r.is_fwd == true[r.read_id].true_fwd and r.rf_st < true[r.read_id].true_st + 400 and r.rf_en > true[r.read_id].true_st]
+    assert len(got) == 40 and len(mapped) >= 36 and len(home) >= 0.97 * len(mapped)
+    mapper = simulate.made_mapper()
+    for r in reads.limit(5).collect():
+        plain = mapper.map_signal(np.array(r.signal))
+        assert {k: got[r.read_id][k] for k in plain} == plain
+    seeds = seed_table(reads, simulate.made_mapper, "made-in-tests").collect()
+    at = {}
+    for s in seeds:
+        t = true[s.read_id]
+        at.setdefault(s.read_id, []).append(s.is_fwd == t.true_fwd and t.true_st - 1 <= s.st and s.en <= t.true_st + 401)
+    assert len(at) >= 36 and sum(map(sum, at.values())) >= 0.6 * len(seeds)
+    events_ = event_table(reads.limit(2), simulate.made_mapper, "made-in-tests").collect()
+    assert {e.read_id for e in events_} == {r.read_id for r in reads.limit(2).collect()} and all(e.length > 0 for e in events_)
+    paths = path_table(reads.limit(1), simulate.made_mapper, "made-in-tests").collect()
+    assert paths and all(p.fm_len > 0 and 2 <= p.full_len <= 22 and len(p.moves) == p.full_len - 1 for p in paths)
+
+
+def test_n_matches_nothing_and_sequences_stand_apart():
+    a, b = "ACGTACGTTGCA", "TTGCANNACGTA"
+    ref = index.Reference([("a", a), ("b", b)])
+    fm = FmIndex(ref.text)
+    both = ref.text + ref.text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for m in (1, 2, 3, 5):
+        for q in {both[i : i + m] for i in range(len(both) - m)}:
+            lo, hi = fm.search(q)
+            want = [i for i in range(len(both) - m + 1) if both[i : i + m] == q] if "N" not in q else []
+            assert sorted(fm.places(lo, hi, m).tolist()) == want
+    assert ref.at(0) == ("a", 0, 12) and ref.at(11) == ("a", 11, 12) and ref.at(13) == ("b", 0, 12) and ref.at(24) == ("b", 11, 12)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(-5, 5), min_size=1, max_size=12), st.lists(st.floats(-5, 5), min_size=1, max_size=12), st.sampled_from([EVENT_GLOBAL, EVENT_COLUMNS, EVENT_ROWS]), st.sampled_from([difference, unlikeliness]))
+def test_warp_score_is_that_of_the_whole_matrix(levels, x, conf, cost):
+    levels, x, sd = np.array(levels), np.array(x), np.linspace(0.5, 2, len(levels))
+    score, path = warp(cost(levels[:, None], sd[:, None], x[None, :]), conf)
+    got, length = warp_score(levels, sd, x, cost, conf)
+    assert got == pytest.approx(score) and (length == len(path) or len(set(levels)) < len(levels) or len(set(x)) < len(x))
+
+
+def test_boundaries_of_a_part_are_a_part():
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(90, 12, 120), rng.integers(5, 14, 120))
+    x = x + rng.normal(0, 1.5, len(x))
+    whole = boundaries(x)
+    for n in range(0, len(x), 37):
+        part = boundaries(x[:n])
+        assert part == whole[: len(part)]
+
+
+def test_scans_by_hand():
+    """Scans from the formulas worked by hand: (start, end, mux, share) blocks; a limit of 20 from the scan's end."""
+    four = [(100.0, 103.0, 1, 1.0), (104.0, 107.0, 2, 1.0), (108.0, 111.0, 3, 1.0), (112.0, 115.0, 4, 1.0)]
+    scans = lambda *b: runprofile.assemble_scans(list(b))
+    assert scans(*four, (118.0, 119.0, 2, 1.0)) == [(0.0, 118.0)]  # the next block, dominant or not, ends it
+    assert scans((0.0, 40.0, 3, 0.5), *four, (118.0, 119.0, 2, 0.5)) == [(40.0, 118.0)]
+    assert scans(*four, (140.0, 150.0, 2, 1.0)) == [(0.0, 115.0)]  # too far away: the scan's own end
+    assert scans(*four) == []  # the run ends in it
+    # a repeat of a mux that ends within the limit of the scan's end moves the end
+    assert scans(*four[:2], (107.5, 126.0, 2, 1.0), (127.0, 128.0, 3, 1.0), (129.0, 130.0, 4, 1.0), (131.0, 132.0, 1, 0.5)) == [(0.0, 131.0)]
+    # a longer one of mux 2 to 4 leaves the scan as it is, one of mux 1 begins it anew
+    assert scans(*four[:2], (107.5, 128.0, 2, 1.0), (126.5, 127.0, 3, 1.0), (127.5, 129.0, 4, 1.0), (131.0, 132.0, 1, 0.5)) == [(0.0, 131.0)]
+    assert scans((50.0, 53.0, 1, 1.0), (54.0, 80.0, 1, 1.0), (81.0, 82.0, 2, 1.0), (83.0, 84.0, 3, 1.0), (85.0, 86.0, 4, 1.0), (90.0, 91.0, 1, 0.1)) == [(53.0, 90.0)]
+    # a mux out of turn ends the attempt, and a whole scan's follower may open the next
+    assert scans(four[0], (104.0, 107.0, 3, 1.0), *[(s + 20, e + 20, m, p) for s, e, m, p in four], (140.0, 141.0, 1, 0.1)) == [(107.0, 140.0)]
+    again = [(s + 18, e + 18, m, p) for s, e, m, p in four]
+    assert scans(*four, *again, (134.0, 135.0, 2, 1.0)) == [(0.0, 118.0), (115.0, 134.0)]
+
+
+def test_allocation_gives_nothing_to_channels_without_reads(spark):
+    n = spark.createDataFrame([(1, 0), (2, 30), (3, 70), (4, 10)], "channel long, n long")
+    got = {r.channel: r.target for r in runprofile.allocation(n, 110, 20).collect()}
+    # shares 0, 30, 70, 10 of 110; remain 0, 10, 50, -10; of 50 in all, 10/60 and 50/60 go to channels 2 and 3
+    assert got == {1: 0, 2: 28, 3: 62, 4: 20}
+    slots = runprofile.donate(spark.createDataFrame([(1, 0, 3), (2, 5, 3), (3, 2, 1)], "channel long, n long, target long")).collect()
+    assert sorted((r.slot, r.from_channel, r.to_channel) for r in slots) == [(1, 2, 1), (2, 2, 1), (3, 3, 1)]
+
+
+def test_yields_by_hand(spark):
+    s = spark.createDataFrame([("a", 10.0, 1.0, 9.0, 4000), ("b", 8.0, 0.5, 7.5, 3000), ("c", 6.0, 0.0, 6.0, 2000)], "read_id string, duration double, template_start double, template_duration double, bases long")
+    lines = ["a\t450\t*\t*\t*\t*\t*\t*\t*\t*\t*\t255\tst:i:4000\tej:f:0.5\tdl:i:4000", "b\t900\t0\t900\t+\tx\t9\t0\t9\t9\t9\t255\tst:i:8000", "z\t450\t*\t*\t*\t*\t*\t*\t*\t*\t*\t255\tst:i:0\tub:f:9"]
+    calls = pafstats.parse(spark.createDataFrame([(x,) for x in lines], "value string"))
+    delays = {r.read_id: r.delay for r in yields.eject_delays(s, calls).collect()}
+    assert delays == {"a": pytest.approx(10 - 1 - (450 / 450 + 0.5)), "b": None, "c": None}
+    assert yields.median_delay(yields.eject_delays(s, calls)).first() == (1, pytest.approx(7.5))
+    assert yields.run_seconds(calls).first().seconds == pytest.approx(8000 / 4000 + 900 / 450)
+    kept = 4000 / 9 * (450 / 450 + 4000 / 4000 + 0.5 - 1)
+    on = spark.createDataFrame([("a",), ("c",)], "read_id string")
+    r = yields.genome_yield(s, calls, on, 0.5).first()
+    assert [r.unc_on_bp, r.unc_total_bp, r.cnt_on_bp, r.cnt_total_bp] == pytest.approx([kept / 1e6 / 0.5, (kept + 3000) / 1e6 / 0.5, 0.006, 0.009])
+    bed = spark.createDataFrame([("x", 0, 100, "b"), ("x", 50, 80, "b")], "chrom string, st long, en long, name string")
+    r = yields.bed_yield(s, calls, bed).first()
+    assert [r.unc_on_bp, r.unc_total_bp, r.cnt_on_bp, r.cnt_total_bp] == pytest.approx([130 / 1e6, (kept + 3000) / 1e6, 130 / 1e6, 0.009])
+
+
+def test_rounds_of_masking_by_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    seqs = ["".join(rng.choice(list("ACGT"), 60)) + "acgtacgtacgt", "ACGTACGTNNACGTA", "", "AC"]
+    got = {r.doc_id: r.seq for r in masking.mask_internal(spark.createDataFrame(list(enumerate(seqs)), "doc_id long, seq string"), 4, 30).collect()}
+    for _ in range(30):
+        n = Counter(s[i : i + 4].upper() for s in seqs for i in range(len(s) - 3) if set(s[i : i + 4].upper()) <= set("ACGT"))
+        if not n:
+            break
+        top = max(n, key=lambda k: (n[k], k))
+        seqs = ["".join("N" if any(s[j : j + 4].upper() == top for j in range(max(0, i - 3), i + 1)) else c for i, c in enumerate(s)) for s in seqs]
+    assert got == dict(enumerate(seqs))
+
+
+def test_masks_of_any_letters(spark):
+    seqs = spark.createDataFrame([(1, "aé🙂cGTé"), (2, "ACGT"), (3, None)], "item_id long, seq string")
+    bed = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (2, 3, 9), (2, 5, 7), (3, 0, 1)], "item_id long, st long, en long")
+    assert {r.item_id: r.seq for r in masking.apply_mask(seqs, bed).collect()} == {1: "aNNNGTé", 2: "ACGN", 3: None}
 
 
 def test_interval_gaps_and_joins(spark):

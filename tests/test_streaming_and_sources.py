@@ -3,44 +3,94 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandflow.operators import pafstats
-from strandflow.sources import readers
+from strandflow.operators import pafstats, simulate
+from strandflow.operators.mapper import map_reads
+from strandflow.sources import chunks, readers
 from strandflow.streaming import realtime
+from strandflow.streaming.normaliser import RollingScale
 
 CHUNKS = "channel long, number long, start_sample long, samples array<double>"
-
-
-def rows():
-    rng = np.random.default_rng(0)
-    out = []
-    for ch in range(5):
-        at = 0
-        for number in range(4):
-            for _ in range(int(rng.integers(1, 7))):
-                out.append((ch, number, at, rng.normal(90, 5, 10).tolist()))
-                at += 10
+MADE = (simulate.made_mapper, "made-in-tests")
+FIELDS = [f for f in realtime.NAMES if f not in ("channel",)]
+
+
+def made_chunks(reads=14, channels=3, size=700, bases=300):
+    """Chunks of reads that follow each other on a channel, one read of noise on each."""
+    ref, (mean, stdv) = simulate.make_reference(simulate.MADE_LENGTH), simulate.make_model()
+    rng, out, at = np.random.default_rng(0), [], [0] * channels
+    signals = [np.array(r.signal) for r in simulate.make_reads(reads, ref, mean, stdv, bases).itertuples()]
+    signals += [rng.normal(90, 12, 3000) for _ in range(channels)]
+    for n, x in enumerate(signals):
+        ch = n % channels
+        for i in range(0, len(x), size):
+            out.append((ch, n, at[ch], x[i : i + size].tolist()))
+            at[ch] += len(x[i : i + size])
     return out
 
 
 def outcome(df):
-    return sorted((r.channel, r.number, r.n_chunks, r.n_samples, round(r["mean"], 6), r.outcome) for r in df.collect())
+    return sorted(tuple(r[f] for f in ["channel", *FIELDS]) for r in df.collect())
 
 
 def test_stream_equals_batch_for_any_split(spark, tmp_path):
-    data = rows()
-    want = outcome(realtime.run_channels(spark.createDataFrame(data, CHUNKS), max_chunks=3, goal=40))
-    assert {"ended", "gave_up"} <= {r[-1] for r in want}
-    for size in (7, 1000):
+    data = made_chunks()
+    want = outcome(realtime.run_channels(spark.createDataFrame(data, CHUNKS), *MADE, max_chunks=3))
+    assert {"mapped", "gave_up"} <= {r[2] for r in want}
+    # the same, chunk by chunk, without Spark
+    mapper, plain = simulate.made_mapper(), []
+    for ch in range(3):
+        channel = realtime.Channel(mapper)
+        for _, number, start, x in (r for r in data if r[0] == ch):
+            plain += [(ch, *(row.get(f) for f in FIELDS)) for row in channel.take(mapper, number, start, np.array(x), 3)]
+    assert want == sorted(plain)
+    for size in (5, 1000):
         src = tmp_path / f"in{size}"
         for i, a in enumerate(range(0, len(data), size)):
             part = sorted(data, key=lambda r: r[2])[a : a + size]
             spark.createDataFrame(part, CHUNKS).coalesce(1).write.parquet(f"{src}/p{i:03d}")
         stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
-        q = realtime.run_channels(stream, max_chunks=3, goal=40).writeStream.format("memory").queryName(f"o{size}").outputMode("append").option("checkpointLocation", str(tmp_path / f"c{size}")).trigger(availableNow=True).start()
+        q = realtime.run_channels(stream, *MADE, max_chunks=3).writeStream.format("memory").queryName(f"o{size}").outputMode("append").option("checkpointLocation", str(tmp_path / f"c{size}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert outcome(spark.table(f"o{size}")) == want
 
 
+def test_live_places_are_those_of_whole_reads(spark):
+    ref, (mean, stdv) = simulate.make_reference(simulate.MADE_LENGTH), simulate.make_model()
+    reads = simulate.make_reads(12, ref, mean, stdv, 300)
+    df = spark.createDataFrame([(i, i, 0, s) for i, s in zip(reads.read_id.tolist(), reads.signal.tolist(), strict=True)], "channel long, number long, start_sample long, signal array<double>")
+    whole = {r.read_id: r for r in map_reads(df.select(F.col("number").alias("read_id"), "signal"), *MADE).collect()}
+    same = ("is_fwd", "rf_name", "rf_len", "rf_st", "rf_en", "matches")
+    # one chunk a read on a channel of its own: the scale is that of the whole read
+    for r in realtime.run_channels(chunks.from_reads(df, 100_000), *MADE).collect():
+        assert (r.outcome == "mapped") == whole[r.number].is_mapped and [r[f] for f in same] == [whole[r.number][f] for f in same] and r.n_events == whole[r.number].events
+    cut = realtime.run_channels(chunks.from_reads(df, 1000), *MADE).collect()
+    home = [r for r in cut if r.outcome == "mapped" and whole[r.number].is_mapped and r.rf_st < whole[r.number].rf_en + 300 and whole[r.number].rf_st < r.rf_en + 300]
+    assert len(cut) >= 10 and len(home) >= 0.9 * len(cut)
+
+
+def test_channel_rules():
+    mapper = simulate.made_mapper()
+    noise = lambda n: np.random.default_rng(n).normal(90, 12, 400)
+    c = realtime.Channel(mapper)
+    take = lambda number, start, most=3: [(r["number"], r["outcome"], r["n_chunks"]) for r in c.take(mapper, number, start, noise(start), most)]
+    assert take(1, 0) == [] and take(2, 400) == [(1, "ended", 1)] and take(2, 800) == [] and take(2, 1200) == [(2, "gave_up", 3)]
+    assert take(2, 1600) == [] and take(3, 2000) == [] and take(3, 2400 + realtime.PATIENCE + 1) == [(3, "ended", 1)] and take(3, 30_000) == []
+    seen = len(c.scale.window)
+    take(4, 31_000)
+    assert len(c.scale.window) > seen
+
+
+def test_rolling_scale():
+    s = RollingScale(10.0, 2.0, 4)
+    assert s.pop().tolist() == [] and s.push(np.array([1.0, 2, 3])) == 3 and s.unread() == 3
+    assert s.push(np.array([4.0, 5.0])) == 1 and s.unread() == 4 and s.skip_unread(2) == 2
+    x = np.array([1.0, 2, 3, 4])
+    assert np.allclose(s.pop(), (x[2:] - x.mean()) / x.std() * 2 + 10) and s.unread() == 0
+    assert s.push(np.array([7.0])) == 1 and np.allclose(s.pop(), (7 - 4) / np.array([2.0, 3, 4, 7]).std() * 2 + 10)
+    s.reset(3)
+    assert s.push(np.full(3, 5.0)) == 3 and s.pop().tolist() == [10.0] * 3
+
+
 def test_event_time_windows_on_a_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     path = str(tmp_path / "ev")
@@ -94,7 +144,10 @@ def test_paf_text(spark, tmp_path):
     got = df.select("qr_name", "qr_st", "rf_en", "is_mapped", pafstats.tag("ct").alias("ct")).orderBy("qr_name").collect()
     assert [tuple(r) for r in got] == [("r1", 1, 60, True, "a:b"), ("r2", None, None, False, None)]
     readers.write_paf(df, str(tmp_path / "out"))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == [lines[1].split("\tmt")[0], lines[2]]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["\t".join([*lines[1].split("\t")[:12], "ct:Z:a:b", "mt:f:5.5"]), lines[2]]
+    assert readers.read_paf(spark, str(tmp_path / "out"), 1).count() == 1 and [r.qr_name for r in readers.read_paf(spark, str(tmp_path / "a.paf"), 1).collect()] == ["r1"]
+    tags = df.select("qr_name", pafstats.set_tag(F.col("tags"), "mt", F.lit(7), "i").alias("tags")).orderBy("qr_name").collect()
+    assert [{k: tuple(v) for k, v in r.tags.items()} for r in tags] == [{"ct": ("Z", "a:b"), "mt": ("i", "7")}, {"mt": ("i", "7")}]
 
 
 def test_chunk_decoding(spark):

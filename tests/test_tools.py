@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from strandflow import cli
 from strandflow.operators import dtw, simulate
 from strandflow.operators.segment import events
-from strandflow.sources import chunks, fast5
+from strandflow.sources import chunks, fast5, readers
 from strandflow.streaming import realtime
 
 
@@ -42,10 +42,13 @@ def test_replayed_chunks_stream(spark, tmp_path):
     assert cut.agg(F.sum(F.size("samples"))).first()[0] == sum(len(r[3]) for r in rows)
     assert chunks.from_reads(reads, 10, tail=False).filter(F.size("samples") < 10).count() == 0
     chunks.write_rounds(cut, str(tmp_path / "in"), 1000)
-    q = realtime.run_channels(chunks.stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("replayed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    made = (simulate.made_mapper, "made-in-tests")
+    q = realtime.run_channels(chunks.stream(spark, str(tmp_path / "in")), *made).writeStream.format("memory").queryName("replayed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     key = lambda df: sorted((r.channel, r.number, r.n_samples, r.outcome) for r in df.collect())
-    assert key(spark.table("replayed")) == key(realtime.run_channels(cut))
+    assert key(spark.table("replayed")) == key(realtime.run_channels(cut, *made))
+    ticks = {r.start_sample: r.tick for r in chunks.emitted(cut.filter("channel = 0 AND number = 1"), 25).collect()}
+    assert all(25 * (t - 1) < s + 10 for s, t in ticks.items())
 
 
 def test_kept_events_against_plain_windows():
@@ -78,26 +81,40 @@ def test_warped_reads_prefer_their_own_span(spark):
 def test_command_line(spark, tmp_path, capsys):
     at = lambda x: str(tmp_path / x)
     ref, (mean, stdv) = simulate.make_reference(4000), simulate.make_model()
-    (tmp_path / "ref.fa").write_text(f">chr\n{ref[:2000]}\n{ref[2000:]}\n")
+    (tmp_path / "ref.fa").write_text(f">chr\n{ref[:2000]}\n{ref[2000:]}\n>two\n{ref[100:160]}NNNN\n")
     kmer = lambda i: "".join("ACGT"[(i >> (2 * (4 - j))) & 3] for j in range(5))
     (tmp_path / "model.tsv").write_text("kmer\tmean\tstdv\n" + "".join(f"{kmer(i)}\t{mean[i]}\t{stdv[i]}\n" for i in range(1024)))
     cli.main(["index", "--fasta", at("ref.fa"), "--out", at("index"), "--model", at("model.tsv"), "--prob", "0.3"])
     rows = simulate.make_reads(12, ref, mean, stdv, 500)
-    spark.createDataFrame(rows[["read_id", "signal"]]).write.parquet(at("reads"))
-    cli.main(["map", "--fasta", at("ref.fa"), "--reads", at("reads"), "--out", at("paf"), "--model", at("model.tsv"), "--presets", at("index/presets"), "--preset", "default"])
-    lines = [r.value.split("\t") for r in spark.read.text(at("paf")).collect()]
+    spark.createDataFrame(rows[["read_id", "signal"]]).withColumns({"channel": F.col("read_id") % 3, "number": F.col("read_id"), "start_sample": F.col("read_id") * 8000}).write.parquet(at("reads"))
     true = {str(r.read_id): (r.true_st, r.true_fwd) for r in rows.itertuples()}
-    mapped = [x for x in lines if x[5] == "chr"]
-    home = [x for x in mapped if (x[4] == "+") == true[x[0]][1] and int(x[7]) < true[x[0]][0] + 500 and int(x[8]) > true[x[0]][0]]
+    own = ["--reads", at("reads"), "--model", at("model.tsv"), "--presets", at("index/presets"), "--preset", "default"]
+    for name, source in (("paf", ["--index", at("index/index")]), ("paf2", ["--fasta", at("ref.fa")])):
+        cli.main(["map", *source, *own, "--out", at(name)])
+    lines = sorted(r.value.split("\t") for r in spark.read.text(at("paf")).collect())
+    assert [x[:12] for x in lines] == sorted(r.value.split("\t")[:12] for r in spark.read.text(at("paf2")).collect())
+    mapped = [x for x in lines if x[5] in ("chr", "two")]
+    home = [x for x in mapped if x[5] == "chr" and (x[4] == "+") == true[x[0]][1] and int(x[7]) < true[x[0]][0] + 500 and int(x[8]) > true[x[0]][0]]
     assert len(lines) == 12 and len(mapped) >= 9 and len(home) >= 0.9 * len(mapped)
+    assert all(0 <= int(x[2]) < int(x[3]) <= int(x[1]) for x in mapped) and all({t[:5] for t in x[12:]} == {"ch:i:", "mt:f:", "st:i:"} for x in lines)
     cli.main(["pafstats", "--paf", at("paf"), "--truth", at("paf")])
-    assert "tp" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "tp" in said and "NULL" not in said
+    (tmp_path / "summary.tsv").write_text("\t".join(readers.SUMMARY_FIELDS) + "\n" + "".join(f"1\t{i}\t2.0\t1\t{i}\t{i + 0.5}\t1.5\t500\n" for i in range(12)))
+    (tmp_path / "truth.paf").write_text("".join(f"{i}\t500\t0\t500\t+\tchr\t4000\t0\t500\t500\t500\t60\ttp:A:P\n" for i in range(3)))
+    cli.main(["yield", "--summary", at("summary.tsv"), "--paf", at("paf"), "--truth", at("truth.paf"), "--fasta", at("ref.fa")])
+    assert "0.0015" in capsys.readouterr().out
+    cli.main(["replay", "--index", at("index/index"), *own, "--out", at("replayed"), "--chunk", "1000"])
+    assert spark.read.parquet(at("replayed")).filter("outcome = 'mapped'").count() >= 8
+    (tmp_path / "q.tsv").write_text("0\t0\t0\tchr\t0\t300\t+\n")
+    cli.main(["warp", "--queries", at("q.tsv"), "--fasta", at("ref.fa"), "--model", at("model.tsv"), "--reads", at("reads"), "--out", at("warped"), "--likelihood"])
+    assert spark.read.text(at("warped")).count() == 1
     cli.main(["mask", "--fasta", at("ref.fa"), "--out", at("masked"), "--k", "4", "--rounds", "2"])
-    assert sum(len(r.value) for r in spark.read.text(at("masked")).collect() if r.value[0] != ">") == 4000
+    assert sum(len(r.value) for r in spark.read.text(at("masked")).collect() if r.value[0] != ">") == 4064
     reads = spark.createDataFrame([(1, 1, 0, [90.0] * 50), (2, 1, 0, [90.0] * 5)], "channel long, number long, start_sample long, signal array<double>")
     chunks.write_rounds(chunks.from_reads(reads, 10), at("live"), 100)
-    cli.main(["realtime", "--chunks", at("live"), "--out", at("decisions"), "--checkpoint", at("cp"), "--mode", "deplete"])
-    assert [(r.channel, r.decision) for r in spark.read.parquet(at("decisions")).collect()] == [(1, "ej")]
+    cli.main(["realtime", "--index", at("index/index"), *own[2:], "--chunks", at("live"), "--out", at("decisions"), "--checkpoint", at("cp"), "--mode", "enrich", "--max-chunks", "2"])
+    assert [(r.channel, r.outcome, r.decision) for r in spark.read.parquet(at("decisions")).collect()] == [(1, "gave_up", "ej")]
     for kind, text in {"itvs": "1\t0\t0\t100\n", "gaps": "1\t0\t5\n", "delays": "1\t0\t1\n", "reads": "1\t0\t0\n1\t1\t1\n"}.items():
         (tmp_path / f"s_{kind}.txt").write_text(text)
     spark.createDataFrame([("0", [1.0] * 20), ("1", [1.0] * 30)], "read_id string, signal array<double>").write.parquet(at("simreads"))
