@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +55,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: The folder that scratch goes to, while ``scratch_folder`` holds.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_FOLDER.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str) -> Iterator[None]:
+    """Scratch of what runs inside goes to a folder of its own, which is deleted at the end: results must have been written by then."""
+    path = scratch_path(spark, label)
+    token = _FOLDER.set(path)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        remove(spark, path)
 
 
 def stored(df: DataFrame, label: str, under: str | None = None) -> DataFrame:
