@@ -1,8 +1,14 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
 
 Quality rules, quality classifier, near duplicates and benchmark decontamination each drop documents and return
-the columns of ``documents``; packing returns the pieces of what is left. ``run`` writes every stage's rows as
-Parquet in the shared folder and rereads them as the next one's documents.
+the columns of ``documents`` (decontamination also cuts hit spans out of the texts that stay); packing returns the pieces
+of what is left. ``run`` writes every stage's rows as Parquet in the shared folder and rereads them as the next one's
+documents; a stage's own scratch and the rows of the stage before are deleted once its rows are written.
+
+Edge cases: a null, empty or word-less text fails the quality rules. Rows are judged one by one, so rows with a null or
+shared doc_id are kept or dropped by their texts; of repeated rows one stays after the near duplicates. Ties are those of
+the operators: documents of equal quality score stay or go together. Very long texts pass through whole. An empty table
+gives empty stages. Other columns pass through untouched, whatever their names, until packing, which has its own.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm import decontam, near_dup, packing, quality_ranker, quality_rules
-from strandflow.llm.common import stored, table
+from strandflow.llm.common import remove, scratch_folder, scratch_path, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scratch_folder(spark, "scratch"):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
