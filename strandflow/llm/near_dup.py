@@ -5,8 +5,8 @@
 2. Rows with equal sets collapse to one class (by digest, with a number of its own) before any pairing, so that
    repeated rows cost no more than their own rows. The set of a class that meets another is made once.
 3. Classes meet in band buckets. Pairs are tried in three rounds, and each round leaves out pairs that
-   are already in one component: (i) each member with its smallest bucket mate, (ii) each member with every
-   bucket's smallest member, (iii) pairs from buckets whose members still lie in different components. For (iii)
+   are already in one component: (i) each member with the first of its buckets' leaders (a leader is the member with
+   the smallest doc_id), (ii) each member with every leader of its buckets, (iii) pairs from buckets whose members still lie in different components. For (iii)
    the documents of such buckets give their whole sets, ordered by how many of these documents hold a shingle,
    rarest first. Two linked documents must meet in a shingle of both prefixes, early enough that what follows can
    still make up the overlap; pairs are made where that holds. A passage that many documents share stands last in
@@ -220,19 +220,20 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     keep = lambda df, label: stored(df, label, work)
     texts = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prep = stored(texts.mapInArrow(_prepare(k), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"), "minhash")
-    # a class is numbered as it is written, so its number stands from then on
+    # a class is numbered as it is written, so its number stands from then on; ``o`` orders classes by their smallest doc_id
     groups = prep.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
-    groups = keep(groups.select(F.monotonically_increasing_id().alias("id"), "digest", "rep", "bands", "sig"), "groups")
+    number = F.monotonically_increasing_id()
+    groups = keep(groups.select(number.alias("id"), F.coalesce("rep", number).alias("o"), "digest", "rep", "bands", "sig"), "groups")
 
-    bands = groups.select("id", F.explode("bands").alias("key"))
-    full = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select(F.col("key").alias("k"), "leader")
+    bands = groups.select("id", "o", F.explode("bands").alias("key"))
+    full = bands.groupBy("key").agg(F.min("o").alias("lead"), F.min("id").alias("i1"), F.max("id").alias("i2")).filter("i1 < i2").select(F.col("key").alias("k"), "lead")
     # written first: a join with a bare shuffle on both sides can split a hot key, one with an aggregate can't
     full = keep(full, "full")
-    multi = keep(bands.join(full, F.col("key") == F.col("k")).select("key", "id", "leader"), "buckets")
+    multi = keep(bands.join(full, F.col("key") == F.col("k")).select("key", "id", "o", "lead"), "buckets")
 
     # sets and signatures of the classes that share a bucket with another, one row each
     ids = keep(multi.select(F.col("id").alias("near")).distinct(), "ids")
-    near = keep(groups.select("id", "digest", "rep", "sig").join(ids, F.col("id") == F.col("near"), "left_semi"), "near")
+    near = keep(groups.select("id", "o", "digest", "rep", "sig").join(ids, F.col("id") == F.col("near"), "left_semi"), "near")
     reps = keep(near.select(F.col("rep").alias("near_rep")).distinct(), "reps")
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
     sets = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("near_rep")), "left_semi").select("text").mapInArrow(_set_rows(k), "digest binary, own binary")
@@ -248,15 +249,18 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         x = x.join(sets.select(F.col("id").alias("ib"), F.col("own").alias("set_b")), F.col("b") == F.col("ib")).select("a", "b", "set_a", "set_b")
         return keep(x.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
-    # (i) each member with its smallest mate
-    stars = multi.filter("id > leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    first = keep(stars.groupBy("a").agg(F.min("b").alias("b")), "pairs")
-    links = verify(first)
+    # the class that leads a bucket: originals tend to come first, so most copies are linked with theirs in the first round
+    leaders = keep(near.groupBy("o").agg(F.min("id").alias("b")).withColumnRenamed("o", "lo"), "leaders")
+    led = lambda df: df.join(leaders, F.col("lead") == F.col("lo")).select("a", "b").filter("a <> b")
+    stars = multi.filter("lead < o").select(F.col("id").alias("a"), "lead")
+    # (i) each member with the first of its leaders
+    first = keep(stars.groupBy("a").agg(F.min("lead").alias("lead")), "first")
+    links = verify(led(first))
     comp = keep(components(links, work), "comp")
-    # (ii) with the smallest member of each bucket
+    # (ii) with the leader of each bucket
     stars = keep(stars.distinct(), "stars")
-    todo = stars.join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
-    todo = _with_comp(_with_comp(todo, comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb").select("a", "b")
+    todo = stars.join(first.select(F.col("a").alias("fa"), F.col("lead").alias("fl")), (F.col("a") == F.col("fa")) & (F.col("lead") == F.col("fl")), "left_anti")
+    todo = _with_comp(_with_comp(led(todo), comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb").select("a", "b")
     links = links.union(verify(todo))
     comp = keep(components(links, work), "comp")
     # (iii) what is still apart in a bucket
@@ -282,7 +286,8 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     enough = (100 + percent) * (1 + F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))) >= percent * (F.col("size") + F.col("size2"))
     rest = left.join(right, (F.col("t") == F.col("t2")) & apart & enough)
     rest = rest.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
-    rest = rest.join(stars.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
+    tried = keep(led(stars).select(F.greatest("a", "b").alias("fa"), F.least("a", "b").alias("fb")), "tried")
+    rest = rest.join(tried, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
     more = verify(rest)
     if not more.isEmpty():
         comp = keep(components(links.union(more), work), "comp")
