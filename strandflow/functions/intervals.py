@@ -43,13 +43,25 @@ def split(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.array_compact(pieces)
 
 
-def merge(df: DataFrame, by: list[str], st: str, en: str, gap: int | float = 0) -> DataFrame:
-    """Islands: rows of a group join while the next start is at most ``gap`` past the running end. Half-open or closed alike."""
+def _islands(df: DataFrame, by: list[str], st: str, en: str, gap: int | float) -> DataFrame:
+    """Rows with a count ``n`` to islands with the sum of theirs."""
     order = Window.partitionBy(*by).orderBy(st, en)
     reach = F.max(en).over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = df.withColumn("_new", F.when(F.col(st) - reach <= gap, 0).otherwise(1))
     numbered = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_island").agg(F.min(st).alias(st), F.max(en).alias(en), F.count(F.lit(1)).alias("n")).drop("_island")
+    return numbered.groupBy(*by, "_island").agg(F.min(st).alias(st), F.max(en).alias(en), F.sum("n").alias("n")).drop("_island")
+
+
+def merge(df: DataFrame, by: list[str], st: str, en: str, gap: int | float = 0, width: int | float | None = None) -> DataFrame:
+    """Islands: rows of a group join while the next start is at most ``gap`` past the running end. Half-open or closed alike.
+
+    With ``width``, rows are merged within stretches of that width first, so that a group of very many rows is shared out
+    and its last, ordered pass sees islands only.
+    """
+    rows = df.select(*by, st, en).withColumn("n", F.lit(1).cast("long"))
+    if width is not None:
+        rows = _islands(rows.withColumn("_w", F.floor(F.col(st) / width)), [*by, "_w"], st, en, gap).drop("_w")
+    return _islands(rows, by, st, en, gap)
 
 
 def gaps(df: DataFrame, by: list[str], st: str, en: str, lo: str, hi: str) -> DataFrame:

@@ -12,24 +12,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import kmers
+from strandflow.storage import kept
 
 MAX_BASES = 20_000_000
 _CODE = np.full(256, 4, dtype=np.uint8)
 _CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
 
 
-def suffix_table(seqs: DataFrame, by: str = "doc_id") -> DataFrame:
-    """(by, pos, rank) of every suffix: rank by one base, then by pairs of ranks at doubling distance up to the longest sequence, so that no two tie."""
-    longest = seqs.agg(F.max(F.char_length("seq"))).first()[0] or 0
-    base = seqs.select(by, F.posexplode(F.split("seq", "")).alias("pos", "base")).filter("base <> ''")
-    order = Window.partitionBy(by)
-    df = base.select(by, "pos", F.dense_rank().over(order.orderBy("base")).alias("rank"))
-    step = 1
-    while step < longest:
-        ahead = F.coalesce(F.lead("rank", step).over(order.orderBy("pos")), F.lit(0))
-        df = df.withColumn("ahead", ahead).select(by, "pos", F.dense_rank().over(order.orderBy("rank", "ahead")).alias("rank"))
+def suffix_table(seqs: DataFrame, by: str = "doc_id", first: int = 10) -> DataFrame:
+    """(by, pos, rank) of every suffix, by prefix doubling until no two of a sequence share a rank.
+
+    A rank is the number of suffixes that are smaller as far as has been looked. The first ranks are those of prefixes of
+    ``first`` letters, of which there are few; after that only suffixes of one rank are ordered among themselves, by the
+    rank of what follows, so that no step sorts a whole sequence. ``by`` must be unique.
+    """
+    places = seqs.filter(F.char_length("seq") > 0).select(by, F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{1,{first}}}))"), F.lit(1))).alias("pos", "_p"))
+    counts = places.groupBy(by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    smaller = F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select(F.col(by).alias("_by"), F.col("_p").alias("_q"), F.coalesce(smaller, F.lit(0)).alias("rank"))
+    df = kept(places.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q"))).select(by, "pos", "rank"))
+    step = first
+    while not df.groupBy(by, "rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        ahead = df.select(F.col(by).alias("_by"), (F.col("pos") - step).alias("_pos"), F.col("rank").alias("_ahead"))
+        df = df.join(ahead, F.col(by).eqNullSafe(F.col("_by")) & (F.col("pos") == F.col("_pos")), "left").select(by, "pos", "rank", F.coalesce("_ahead", F.lit(-1)).alias("_ahead"))
+        among = F.rank().over(Window.partitionBy(by, "rank").orderBy("_ahead")) - 1
+        df = kept(df.select(by, "pos", (F.col("rank") + among).alias("rank")))
         step *= 2
-    return df.withColumn("rank", F.col("rank") - 1)
+    return df
 
 
 def kmer_ranges(suffixes: DataFrame, seqs: DataFrame, k: int, by: str = "doc_id") -> DataFrame:

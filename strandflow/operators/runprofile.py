@@ -95,8 +95,7 @@ def mux_scans(summary: DataFrame, gap: float = 1.0, limit: float = 20.0, share:
 
     st, en = F.col("st").cast("double"), F.col("en").cast("double")
     reads = summary.select("mux", st.alias("st"), en.alias("en"))
-    parts = merge(reads.withColumn("_w", F.floor(F.col("st") / width)), ["_w"], "st", "en", gap)
-    whole = merge(parts.select(F.lit(0).alias("run"), "st", "en"), ["run"], "st", "en", gap).select(F.col("st").alias("block"), F.col("en").alias("block_en"))
+    whole = merge(reads.withColumn("run", F.lit(0)), ["run"], "st", "en", gap, width).select(F.col("st").alias("block"), F.col("en").alias("block_en"))
     top = mux_majority(range_join(reads, "st", whole.withColumn("_to", F.col("block_en") + gap / 2), "block", "_to", width), "block", share)
     found = sorted(tuple(r) for r in whole.join(top, "block").select("block", "block_en", "mux", "share").collect())  # one row a block
     return summary.sparkSession.createDataFrame(assemble_scans(found, limit, share), "scan_st double, scan_en double")

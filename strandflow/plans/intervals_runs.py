@@ -22,12 +22,12 @@ def _islands(by: str, st: str, en: str, gap: str, src: str) -> str:
 
 @query(f"WITH {BED}, {_islands('chrom', 'st', 'en', '0', 'bed')} SELECT chrom, min(st) AS st, max(en) AS en, count(*) AS n FROM g GROUP BY chrom, isl")
 def bed_merge(spark, sf):
-    return V.merge(A.bed(spark, sf), ["chrom"], "st", "en")
+    return V.merge(A.bed(spark, sf), ["chrom"], "st", "en", width=500)
 
 
 @query(f"WITH {BED}, {_islands('chrom', 'st', 'en', '0', 'bed')}, m AS (SELECT chrom, min(st) AS st, max(en) AS en FROM g GROUP BY chrom, isl) SELECT chrom, CAST(sum(en - st) AS BIGINT) AS bp FROM m GROUP BY chrom")
 def masked_bases(spark, sf):
-    return V.merge(A.bed(spark, sf), ["chrom"], "st", "en").groupBy("chrom").agg(F.sum(F.col("en") - F.col("st")).alias("bp"))
+    return V.merge(A.bed(spark, sf), ["chrom"], "st", "en", width=500).groupBy("chrom").agg(F.sum(F.col("en") - F.col("st")).alias("bp"))
 
 
 _PAIR = "p AS (SELECT l_orderkey AS id, l_linenumber AS ln, l_partkey % 50 AS a1, l_partkey % 50 + CAST(l_quantity AS BIGINT) AS a2, l_suppkey % 60 AS b1, l_suppkey % 60 + l_linenumber * 5 - 6 AS b2 FROM lineitem), v AS (SELECT *, a1 <= a2 AND b1 <= b2 AND a1 <= b2 AND b1 <= a2 AS meet FROM p)"

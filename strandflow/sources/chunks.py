@@ -31,3 +31,16 @@ def stream(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
 def emitted(chunks: DataFrame, tick: int) -> DataFrame:
     """Chunks with the tick (a stretch of ``tick`` samples of run time) in which a device hands them over: the one that their last sample falls before the end of."""
     return chunks.withColumn("tick", F.ceil((F.col("start_sample") + F.size("samples")) / tick))
+
+
+def device_chunks(timeline: DataFrame, reads: DataFrame, size: int = 4000) -> DataFrame:
+    """A simulated run's chunks: the reads of a timeline (channel, n, st, en in seconds) cut as a device would hand them over.
+
+    ``reads``: channel, k (0, 1, ... in a channel), signal; a channel goes through its reads in turn. A read that the
+    timeline ends early (by an ejection or its interval's end) is cut there.
+    """
+    last = reads.groupBy(F.col("channel").alias("_c")).agg((F.max("k") + 1).alias("_of"))
+    turns = timeline.join(last, F.col("channel") == F.col("_c")).select("channel", F.col("n").alias("number"), F.pmod(F.col("n"), F.col("_of")).alias("_k"), F.bround(F.col("st") * S.SAMPLES_PER_SECOND).cast("long").alias("start_sample"), F.bround((F.col("en") - F.col("st")) * S.SAMPLES_PER_SECOND).cast("int").alias("_len"))
+    own = reads.select(F.col("channel").alias("_rc"), "k", "signal")
+    whole = turns.join(own, (F.col("channel") == F.col("_rc")) & (F.col("_k") == F.col("k")))
+    return from_reads(whole.select("channel", "number", "start_sample", F.slice("signal", F.lit(1), F.greatest(F.col("_len"), F.lit(0))).alias("signal")), size)

@@ -283,3 +283,12 @@ def test_mux_scans_over_blocks(spark):
     rows = [(m, 100.0 + 10 * i + d, 103.0 + 10 * i + d) for i, m in enumerate((1, 2, 3, 4)) for d in (0.0, 0.5)] + [(1, 150.0, 900.0), (2, 151.0, 160.0)]
     got = runprofile.mux_scans(spark.createDataFrame(rows, "mux long, st double, en double"), width=7.0).collect()
     assert [tuple(r) for r in got] == [(0.0, 150.0)]
+
+
+def test_merging_in_stretches_changes_nothing(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(g), int(a), int(a + n)) for g, a, n in zip(rng.integers(0, 2, 300), rng.integers(0, 3000, 300), rng.integers(0, 25, 300), strict=True)]
+    df = spark.createDataFrame(rows, "g long, st long, en long")
+    want = sorted(map(tuple, intervals.merge(df, ["g"], "st", "en", 2).collect()))
+    for width in (1, 37, 10_000):
+        assert sorted(map(tuple, intervals.merge(df, ["g"], "st", "en", 2, width).collect())) == want

@@ -51,6 +51,19 @@ def test_replayed_chunks_stream(spark, tmp_path):
     assert all(25 * (t - 1) < s + 10 for s, t in ticks.items())
 
 
+def test_device_chunks_follow_the_timeline(spark):
+    ch = spark.createDataFrame([(1, [(0.0, 0.1)], [0.01], [0.02, 0.03])], "channel long, intervals array<struct<st:double,en:double>>, gaps array<double>, lengths array<double>")
+    ejected = spark.createDataFrame([(1, 0, 0.005)], "channel long, n long, delay double")
+    line = simulate.timeline(ch, ejected, 0.0)
+    reads = spark.createDataFrame([(1, 0, [float(i) for i in range(80)]), (1, 1, [-float(i) for i in range(120)])], "channel long, k long, signal array<double>")
+    got = chunks.device_chunks(line, reads, 50).collect()
+    want = []
+    for r in line.orderBy("n").collect():
+        x = ([float(i) for i in range(80)], [-float(i) for i in range(120)])[r.n % 2][: round((r.en - r.st) * 4000)]
+        want += [(1, r.n, i // 50, round(r.st * 4000) + i, x[i : i + 50]) for i in range(0, len(x), 50)]
+    assert sorted(tuple(r) for r in got) == want and len(want) > 4
+
+
 def test_kept_events_against_plain_windows():
     rng = np.random.default_rng(4)
     for n in (0, 5, 25, 60, 120):
