@@ -6,8 +6,10 @@ its genuine form. A known sentence may be wrapped: single line ends are allowed
 sentence ends only where the genuine text has them. ``n_sentences`` counts the cut pieces. The row of identifiers is matched against ordered rules: a rule fits where its identifiers stand in that order, other known
 sentences allowed between them. Of fitting rules those that another fitting rule contains are left out.
 
-Edge cases: null and empty texts have one empty sentence at most and no licence; repeated rows repeat; an empty
-table gives an empty result; other columns are ignored. Everything is row by row, so there is no shuffle.
+Edge cases: null and empty texts have one empty sentence at most and no licence; rows are scanned one by one, so
+repeated rows and null doc_ids change nothing; of known sentences that begin alike the longest counts; a very long text
+is scanned whole in one row's memory; an empty table gives an empty result; other columns are ignored, whatever their
+names. Everything is row by row, so there is no shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm.common import plain
+
 #: Known sentences (normalised) by identifier.
 SENTENCES = {
     1: "released under the mit license",
@@ -66,42 +70,52 @@ def pattern(ids: list[int]) -> str:
     return ",(?:[0-9]+,)*".join(map(str, ids)).join((",", ","))
 
 
-def contained() -> dict[str, list[str]]:
+def contained(rules: list[tuple[str, str, list[int]]] = RULES) -> dict[str, list[str]]:
     """Rules by those that contain them in order."""
 
     def within(a: list[int], b: list[int]) -> bool:
         it = iter(b)
         return len(a) < len(b) and all(x in it for x in a)
 
-    return {n: [m for m, _, other in RULES if within(ids, other)] for n, _, ids in RULES}
+    return {n: [m for m, _, other in rules if within(ids, other)] for n, _, ids in rules}
+
 
+def known_sentences() -> list[tuple[int, str]]:
+    """(identifier, normalised sentence) of the built-in table, short and genuine forms."""
+    return [*SENTENCES.items(), *GENUINE.items()]
 
-def sentence_pattern() -> str:
+
+def sentence_pattern(sentences: list[tuple[int, str]]) -> str:
     """Matches a known sentence of a marked text, framed by marks."""
-    forms = sorted({*SENTENCES.values(), *GENUINE.values()}, key=len, reverse=True)
+    forms = sorted({s for _, s in sentences}, key=lambda s: (-len(s), s))
     wrapped = [r"(?: [|~])? ".join(part.replace(" ", "(?: ~)? ") for part in s.split(" | ")) for s in forms]
     return f"(?<=[|~] )(?:{'|'.join(wrapped)})(?= [|~])"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_sentences, sentence_ids (comma-joined), rules, licenses (comma-joined, sorted)."""
-    plain = {s.replace(" | ", " "): i for forms in (SENTENCES, GENUINE) for i, s in forms.items()}
-    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(plain.items())])
+def scan(docs: DataFrame, sentences: list[tuple[int, str]] | None = None, rules: list[tuple[str, str, list[int]]] = RULES) -> DataFrame:
+    """Per row: doc_id, n_sentences, sentence_ids (comma-joined), rules, licenses (comma-joined, sorted).
+
+    ``sentences``: (identifier, sentence in lower-case letters and digits with single spaces, " | " for a sentence end
+    inside), several forms of one identifier allowed; ``rules``: (name, licence, identifiers in order).
+    """
+    sentences = known_sentences() if sentences is None else sentences
+    plain_forms = {s.replace(" | ", " "): i for i, s in sentences}
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(plain_forms.items())])
     low = F.lower(F.coalesce("text", F.lit("")))
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), CUT), lambda s: F.lower(s).rlike("[a-z0-9]"))).cast("long")
     marked = F.regexp_replace(F.regexp_replace(F.translate(low, "|~", ",,"), FULL_CUT, " | "), "\n", " ~ ")
-    df = docs.select("doc_id", n.alias("n_sentences"), F.concat(F.lit("| "), F.btrim(F.regexp_replace(marked, UNMARKED, " ")), F.lit(" |")).alias("marked"))
-    hits = F.regexp_extract_all("marked", F.lit(sentence_pattern()), F.lit(0))
+    df = plain(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    df = df.select("doc_id", n.alias("n_sentences"), F.concat(F.lit("| "), F.btrim(F.regexp_replace(marked, UNMARKED, " ")), F.lit(" |")).alias("marked"))
+    hits = F.regexp_extract_all("marked", F.lit(sentence_pattern(sentences)), F.lit(0))
     df = df.select("doc_id", "n_sentences", F.array_join(F.transform(hits, lambda s: F.element_at(known, F.regexp_replace(s, "[|~] ", "")).cast("string")), ",").alias("sentence_ids"))
     framed = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    df = df.select("*", *[framed.rlike(pattern(ids)).alias(f"r_{n}") for n, _, ids in RULES])
-    wider = contained()
-    own = {n: F.col(f"`r_{n}`") for n, _, _ in RULES}
-    fits = {}
-    for n, licence, _ in RULES:
-        cond = own[n]
+    df = df.select("*", F.array(*[framed.rlike(pattern(ids)) for _, _, ids in rules]).alias("fits"))
+    place, wider = {n: i for i, (n, _, _) in enumerate(rules)}, contained(rules)
+    alone = {}
+    for n, licence, _ in rules:
+        cond = F.get("fits", place[n])
         for m in wider[n]:
-            cond = cond & ~own[m]
-        fits[n] = (cond, licence)
-    listed = lambda which: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(n if which else lic)) for n, (c, lic) in fits.items()])))), ",")
+            cond = cond & ~F.get("fits", place[m])
+        alone[n] = (cond, licence)
+    listed = lambda which: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(n if which else lic)) for n, (c, lic) in alone.items()])))), ",")
     return df.select("doc_id", "n_sentences", "sentence_ids", listed(True).alias("rules"), listed(False).alias("licenses"))

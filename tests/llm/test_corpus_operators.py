@@ -382,6 +382,14 @@ def test_genuine_licences(spark):
     assert got == {i: (r, lic) for i, (_, r, lic) in enumerate(want)}
 
 
+def test_licences_of_a_table_of_ones_own(spark):
+    sentences = [(1, "you may do anything"), (2, "keep this | and that"), (2, "keep this notice")]
+    rules = [("free", "F", [1]), ("free-notice", "FN", [1, 2])]
+    texts = ["You may do anything.", "You may do\nanything. Other words.\nKeep this: and that.", "Keep this notice. You may do anything", "Keep this notice."]
+    got = {r.doc_id: (r.sentence_ids, r.rules, r.licenses) for r in licenses.scan(docs_of(spark, list(enumerate(texts))), sentences, rules).collect()}
+    assert got == {0: ("1", "free", "F"), 1: ("1,2", "free-notice", "FN"), 2: ("2,1", "free", "F"), 3: ("2", "", "")}
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score, kind="stable")) + 1
     pos = np.asarray(label) == 1
