@@ -600,3 +600,51 @@ def test_quantile_follows_the_corpus():
         cut = quality_ranker.quantile(edges, counts, found)
         assert abs((s < cut).mean() - share) < 0.015
     assert quality_ranker.quantile(np.arange(5.0), np.array([2, 0, 0, 2]), 0.5) == 2.0
+
+
+def naive_features(text):
+    """The ranker's features, one by one."""
+    t = (text or "").encode()
+    w = re.findall(rb"[^ \t\n\r\x0b\x0c]+", t)
+    n = len(w)
+    if not n:
+        return [0.0] * 14
+    count = lambda chars: sum(c in chars for c in t)
+    symbols, shout = count(b"#*$%&|<>") / n, count(b"!") / n
+    up, low = sum(65 <= c <= 90 for c in t), sum(97 <= c <= 122 for c in t)
+    same = sum(a == b for a, b in zip(w, w[1:], strict=False)) / n
+    windows = [tuple(w[i : i + 5]) for i in range(n - 4)]
+    again = 1 - len(set(windows)) / len(windows) if windows else 0.0
+    lines = [x for x in t.split(b"\n") if x.strip()]
+    upper = up / (up + low + 1)
+    return [min(symbols, 2), min(symbols, 0.3), min(shout, 2), min(shout, 0.3), upper, min(upper, 0.2), same, min(same, 0.1), again, min(again, 0.2), 1 - len(set(lines)) / len(lines), len(set(w)) / n, min(len(t) / n, 30) / 10, 1 / (1 + n)]
+
+
+def test_ranking_against_plain_arithmetic(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").toPandas(), spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    x = np.array([naive_features(t) for t in docs.text])
+    known = {i: q for i, q in zip(labels.doc_id, labels.quality, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2}
+    rows = sorted((i, known[i], x[k].tolist()) for k, i in enumerate(docs.doc_id) if i in known)
+    model = quality_ranker.fit(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]))
+    raw = x @ model["w"] - model["c"]
+    counts, edges = np.histogram(np.clip(raw, model["low"], model["high"]), quality_ranker.BINS, (model["low"], model["high"]))
+    cut = quality_ranker.quantile(edges, counts, quality_ranker.low_share(model, (edges[1:] + edges[:-1]) / 2, counts))
+    got = queries.queries()["op10_quality_ranking"](spark, sf).toPandas().set_index("doc_id").loc[docs.doc_id]
+    clear = np.abs(raw - cut) > 1e-6 * model["spread"]
+    assert (got.predicted.to_numpy() == (raw >= cut))[clear].all() and clear.mean() > 0.99
+    assert (np.argsort(got.score.to_numpy()[raw >= cut], kind="stable") == np.argsort(raw[raw >= cut], kind="stable")).mean() > 0.99
+
+
+def test_toxicity_against_plain_counts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    terms, w, _ = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        hits = lambda t, x: x == t[2:] if t[0] == "w" else x.startswith(t[2:]) and len(x) > len(t) - 2
+        own = [sum(hits(t, x) for x in words) for t in terms]
+        total, n = sum(any(hits(t, x) for t in terms) for x in words), len(words)
+        row = [*np.log1p(own), np.log1p(total), min(total, 1), min(total, 3) / 3, total / (n + 20) * 20, *(float(total * d < n) for d in (400, 100, 50)), 1.0]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.dot(row, w))), abs=1e-9)
