@@ -102,11 +102,16 @@ def mux_scans(summary: DataFrame, gap: float = 1.0, limit: float = 20.0, share:
 
 
 def remove_scans(summary: DataFrame, scans: DataFrame) -> DataFrame:
-    """Reads inside a scan go; later ones move up by the length of the scans before them. Scans (scan_st, scan_en) are few: broadcast."""
-    joined = summary.join(F.broadcast(scans), (F.col("scan_st") <= F.col("en")) & (F.col("scan_st") <= F.col("st")), "left")
-    inside = (F.col("st") >= F.col("scan_st")) & (F.col("en") <= F.col("scan_en"))
-    per = joined.groupBy("channel", "read_id", "st", "en").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("gone"), F.coalesce(F.sum(F.when(~inside, F.col("scan_en") - F.col("scan_st"))), F.lit(0)).alias("shift"))
-    return per.filter("NOT gone").select("channel", "read_id", (F.col("st") - F.col("shift")).alias("st"), (F.col("en") - F.col("shift")).alias("en"))
+    """Reads inside a scan go; later ones move up by the length of the scans before them. Scans (scan_st, scan_en) are few
+    (some tens a run) and travel as one array, so that every row is handled on its own, repeated ones too."""
+    one = scans.agg(F.array_sort(F.collect_list(F.struct("scan_st", "scan_en"))).alias("_scans"))
+    st, en = F.col("st"), F.col("en")
+    inside = lambda x: (st >= x["scan_st"]) & (en <= x["scan_en"])
+    before = F.filter("_scans", lambda x: (x["scan_st"] <= en) & (x["scan_st"] <= st))
+    rows = summary.crossJoin(F.broadcast(one)).filter(~F.exists(before, inside))
+    # a bound column, so that the sum's type follows the scans'
+    shift = F.aggregate(before, (en - en), lambda s, x: s + (x["scan_en"] - x["scan_st"]))
+    return rows.select("channel", "read_id", (st - shift).alias("st"), (en - shift).alias("en"))
 
 
 def activity(gaps: DataFrame, limit: int) -> DataFrame:
