@@ -108,10 +108,9 @@ def remove_scans(summary: DataFrame, scans: DataFrame) -> DataFrame:
     st, en = F.col("st"), F.col("en")
     inside = lambda x: (st >= x["scan_st"]) & (en <= x["scan_en"])
     before = F.filter("_scans", lambda x: (x["scan_st"] <= en) & (x["scan_st"] <= st))
-    rows = summary.crossJoin(F.broadcast(one)).filter(~F.exists(before, inside))
-    # a bound column, so that the sum's type follows the scans'
-    shift = F.aggregate(before, (en - en), lambda s, x: s + (x["scan_en"] - x["scan_st"]))
-    return rows.select("channel", "read_id", (st - shift).alias("st"), (en - shift).alias("en"))
+    rows = summary.crossJoin(F.broadcast(one)).withColumn("_before", before)
+    rows = rows.filter(~F.exists("_before", inside)).withColumn("_shift", F.aggregate("_before", en - en, lambda s, x: s + (x["scan_en"] - x["scan_st"])))
+    return rows.select("channel", "read_id", (st - F.col("_shift")).alias("st"), (en - F.col("_shift")).alias("en"))
 
 
 def activity(gaps: DataFrame, limit: int) -> DataFrame:
