@@ -6,8 +6,9 @@ Positions are 0-based and integer. Everything but cluster growth is a DataFrame
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,34 +71,47 @@ def seed_valid(length: Column, prob: Column, copies: Column, moves: Column, ende
     return (length == seed_len) & (prob >= least) & (alone | (ended & (copies <= most) & (n >= fewest_moves)))
 
 
-def growth(spans: Iterable[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(gain, covered, block) after each seed (rf, st, en) of one cluster in event order.
+def _hull(last: tuple, seed: tuple) -> tuple:
+    """(cluster, block, sequence, start, end) of the block that a seed (cluster, rf, st, en) goes to, given the one before (empty at first)."""
+    cluster, rf, st, en = seed
+    if not last or last[0] != cluster:
+        return cluster, 0, rf, st, en
+    _, block, own, lo, hi = last
+    if rf == own and max(lo, st) <= min(hi, en):
+        return cluster, block, own, min(lo, st), max(hi, en)
+    return cluster, block + 1, own, st, en
 
-    A seed that touches the last block and lies on the cluster's own sequence widens it; any other begins a block.
-    """
-    own = lo = hi = None
-    covered = block = 0
-    for rf, st, en in spans:
-        if own is None:
-            own, lo, hi, gain = rf, st, en, en - st
-        elif rf != own or max(lo, st) > min(hi, en):
-            lo, hi, gain, block = st, en, en - st, block + 1
-        else:
-            gain = max(hi, en) - min(lo, st) - (hi - lo)
-            lo, hi = min(lo, st), max(hi, en)
-        covered += max(gain, 0)
-        yield gain, covered, block
 
+def growth(seeds: Iterable[tuple], last: tuple = (), covered: int = 0) -> Iterator[tuple[tuple, int, int]]:
+    """(block, gain, covered) after each seed (cluster, rf, st, en), clusters one after another, each in event order.
 
-def cluster_growth(seeds: DataFrame) -> DataFrame:
-    """seeds (cluster, n, rf, st, en) to (cluster, n, gain, covered, block); n is the order within a cluster."""
+    A seed that touches its cluster's last block and lies on the sequence of the cluster's first seed widens the block; any
+    other begins one. The gain is what the block has become wider by. ``last`` and ``covered`` go on from an earlier part.
+    """
+    for before, block in pairwise(accumulate(seeds, _hull, initial=last)):
+        same = before[:2] == block[:2]
+        gain = block[4] - block[3] - (before[4] - before[3] if same else 0)
+        covered = max(gain, 0) + (covered if before[:1] == block[:1] else 0)
+        yield block, gain, covered
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("n", kind="stable")
-        rows = list(growth(zip(frame.rf, frame.st, frame.en, strict=True)))
-        return pd.DataFrame({"cluster": frame.cluster.to_numpy(), "n": frame.n.to_numpy(), **{c: [r[i] for r in rows] for i, c in enumerate(("gain", "covered", "block"))}})
 
-    return seeds.select("cluster", "n", "rf", "st", "en").groupBy("cluster").applyInPandas(run, "cluster long, n long, gain long, covered long, block long")
+def cluster_growth(seeds: DataFrame) -> DataFrame:
+    """seeds (cluster, n, rf, st, en) to (cluster, n, gain, covered, block); n is the order within a cluster. A cluster's seeds
+    pass through one task in order, a batch at a time."""
+    schema = pa.schema([(c, pa.int64()) for c in ("cluster", "n", "gain", "covered", "block")])
+
+    def run(batches):
+        last, covered = (), 0
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            rows = list(growth(zip(cols["cluster"], cols["rf"], cols["st"], cols["en"], strict=True), last, covered))
+            if rows:
+                last, _, covered = rows[-1]
+            out = (cols["cluster"], cols["n"], [r[1] for r in rows], [r[2] for r in rows], [r[0][1] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+
+    ordered = seeds.selectExpr("cast(cluster as bigint) cluster", "cast(n as bigint) n", "rf", "cast(st as bigint) st", "cast(en as bigint) en").repartition("cluster").sortWithinPartitions("cluster", "n")
+    return ordered.mapInArrow(run, "cluster long, n long, gain long, covered long, block long")
 
 
 def longest_clusters(grown: DataFrame, by: str = "read_id") -> DataFrame:

@@ -232,8 +232,13 @@ def test_timeline(spark):
 
 
 def test_growth_widens_or_begins_blocks():
-    seeds = [("a", 0, 10), ("a", 5, 12), ("a", 30, 40), ("b", 31, 41), ("a", 2, 4)]
-    assert list(traces.growth(seeds)) == [(10, 10, 0), (2, 12, 0), (10, 22, 1), (10, 32, 2), (2, 34, 3)]
+    seeds = [(1, "a", 0, 10), (1, "a", 5, 12), (1, "a", 30, 40), (1, "b", 31, 41), (1, "a", 2, 4), (2, "b", 3, 9)]
+    plain = lambda rows: [(gain, covered, block[1]) for block, gain, covered in rows]
+    want = [(10, 10, 0), (2, 12, 0), (10, 22, 1), (10, 32, 2), (2, 34, 3), (6, 6, 0)]
+    assert plain(traces.growth(seeds)) == want
+    for cut in range(1, len(seeds)):
+        first = list(traces.growth(seeds[:cut]))
+        assert plain(first) + plain(traces.growth(seeds[cut:], first[-1][0], first[-1][2])) == want
     assert list(traces.growth([])) == []
 
 
