@@ -51,11 +51,14 @@ def made_mapper() -> Mapper:
 
 
 def reads_by_key(keys: DataFrame, bases: int) -> DataFrame:
-    """keys (read_id) to (read_id, true_st, true_fwd, signal): a read of the made reference for each, made in tasks from its key alone."""
+    """keys (read_id) to (read_id, true_st, true_fwd, signal): a read of the made reference for each, made in tasks from its key alone.
+
+    Keys are dealt out to four tasks a core: what is done with a read takes far longer than its key's bytes in a file show.
+    """
 
     def run(batches):
         ref, (mean, stdv) = make_reference(MADE_LENGTH), make_model()
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             rows = []
             for key in batch.column("read_id").to_pylist():
                 rng = np.random.default_rng(key)
@@ -67,7 +70,8 @@ def reads_by_key(keys: DataFrame, bases: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["read_id", "true_st", "true_fwd", "signal"])
 
-    return keys.selectExpr("cast(read_id as bigint) read_id").filter("read_id is not null").mapInArrow(run, "read_id long, true_st long, true_fwd boolean, signal array<double>")
+    tasks = 4 * keys.sparkSession.sparkContext.defaultParallelism
+    return keys.selectExpr("cast(read_id as bigint) read_id").filter("read_id is not null").repartition(tasks).mapInArrow(run, "read_id long, true_st long, true_fwd boolean, signal array<double>")
 
 
 def timeline(channels: DataFrame, eject: DataFrame | None = None, eject_time: float = 0.1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Kernels against plain restatements, simulated truth and properties."""
 
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from strandflow.functions import signal as S
 from strandflow.operators import index, masking, pafstats, presets, runprofile, simulate, traces, yields
 from strandflow.operators.dtw import EVENT_COLUMNS, EVENT_GLOBAL, EVENT_ROWS, DtwConfig, difference, unlikeliness, warp, warp_score
 from strandflow.operators.index import FmIndex
-from strandflow.operators.mapper import event_table, map_reads, path_table, seed_table
+from strandflow.operators.mapper import Beam, Mapper, event_table, map_reads, path_counts, path_table, seed_table
 from strandflow.operators.segment import boundaries, events, statistic
 
 DNA = st.text("ACGT", min_size=1, max_size=60)
@@ -108,6 +109,36 @@ def test_simulated_reads_map_home(spark):
     assert paths and all(p.fm_len > 0 and 2 <= p.full_len <= 22 and len(p.moves) == p.full_len - 1 for p in paths)
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_paths": 150, "max_stays": 3}, {"max_events": 30}])
+def test_reads_searched_side_by_side_are_as_alone(limits):
+    ref, model = simulate.make_reference(3000), simulate.make_model()
+    mapper = Mapper(ref, *model, replace(simulate.MADE_CONF, **limits))
+    signals = [np.array(s) for s in simulate.make_reads(6, ref, *model, bases=120).signal] + [np.empty(0), np.full(100, 90.0)]
+    new = lambda: Beam(mapper.conf, [], [])
+    together, alone, halves = [new() for _ in signals], [new() for _ in signals], [new() for _ in signals]
+    records = mapper.search_all(signals, together)
+    assert records == [mapper.search_all([s], [b])[0] for s, b in zip(signals, alone, strict=True)]
+    # levels that come in two parts, of unequal lengths
+    levels = [mapper.normalise(np.array([e[2] for e in events(s)] or [0.0])) if events(s) else np.empty(0) for s in signals]
+    for part in (lambda i, x: x[: 5 * i], lambda i, x: x[5 * i :]):
+        mapper.advance_all(halves, [part(i, x) for i, x in enumerate(levels)])
+    for a, b, c in zip(together, alone, halves, strict=True):
+        assert a.seen_seeds == b.seen_seeds == c.seen_seeds and a.clusters.rows == b.clusters.rows == c.clusters.rows
+        assert len(a.seen_paths) == len(b.seen_paths) == len(c.seen_paths)
+        for p, q, r in zip(a.seen_paths, b.seen_paths, c.seen_paths, strict=True):
+            assert all(np.array_equal(x, y) and np.array_equal(x, z) for x, y, z in zip(p, q, r, strict=True))
+    assert any(a.seen_seeds for a in together) or "max_events" in limits
+
+
+def test_reads_are_dealt_out_and_counted(spark):
+    keys = spark.range(0, 9, 1, 1).selectExpr("if(id = 8, 3, id) read_id")
+    reads = simulate.reads_by_key(keys, 60)
+    assert reads.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    counted = path_counts(reads, simulate.made_mapper, "made-in-tests").groupBy("read_id", "evt").agg(F.sum("n").alias("n"), F.max("longest").alias("longest"))
+    rows = path_table(reads, simulate.made_mapper, "made-in-tests").groupBy("read_id", "evt").agg(F.count(F.lit(1)).alias("n"), F.max("full_len").alias("longest"))
+    assert sorted(counted.collect()) == sorted(rows.collect()) and counted.count() > 100
+
+
 def test_n_matches_nothing_and_sequences_stand_apart():
     a, b = "ACGTACGTTGCA", "TTGCANNACGTA"
     ref = index.Reference([("a", a), ("b", b)])
